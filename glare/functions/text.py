@@ -17,7 +17,7 @@ PY_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
 WORD_PATTERN = "[A-Za-z']+"
 ALL_CAPS_TOKEN = "^[A-Z']*[A-Z][A-Z']*$"
 OPENER_PATTERN = rf"(?iU)^{PY_SPACE}*({OPENER_ALTERNATIVES})\b"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 STYLE_FEATURES = (
     "sensational_ratio", "urgency_ratio", "caps_ratio", "all_caps_words",
@@ -64,7 +64,7 @@ def first_line(c) -> Column:
     """First non-blank line, stripped; blank or null text -> null."""
     lines = F.split(_c(c), LINE_BREAK)
     nonblank = F.filter(lines, lambda x: x.rlike(rf"[^\t\n\x0b\x0c\r\x1c-\x1f\x85\p{{Z}}]"))
-    return strip(F.element_at(nonblank, 1))
+    return strip(F.try_element_at(nonblank, F.lit(1)))
 
 
 def item_count(c, sep: str = "\t") -> Column:

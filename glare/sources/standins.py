@@ -50,7 +50,7 @@ def headlines(spark: SparkSession, base: str, labelled: bool = False,
     the scan stage).
     """
     docs = read_table(spark, base, "documents").select("doc_id", "text", "source")
-    num = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    num = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     df = docs.select(
         "doc_id",
         first_line("text").alias("title"),
