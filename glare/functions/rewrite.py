@@ -61,33 +61,52 @@ def code_point_sum(c) -> Column:
     return F.aggregate(chars, F.lit(0).cast("long"), lambda acc, ch: acc + F.ascii(ch).cast("long"))
 
 
-def _longest(words: Column, exclude: Column | None = None) -> Column:
-    """Index (>= 1) of the longest word after the first; earliest on ties."""
-    idx = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
-    if exclude is not None:
-        idx = F.filter(idx, lambda i: i != exclude)
-    best = F.array_max(F.transform(idx, lambda i: F.struct(F.length(words[i]).alias("l"), (-i).alias("ni"))))
-    return -best["ni"]
+def _two_longest(words: Column) -> Column:
+    """One pass over indices 1..n-1: the longest and second-longest words
+    (earliest on ties), as struct(i1, i2); i = 0 means none."""
+    init = F.struct(F.lit(-1).alias("l1"), F.lit(0).alias("i1"), F.lit(-1).alias("l2"), F.lit(0).alias("i2"))
+
+    def step(acc, i):
+        ln = F.length(F.element_at(words, i + 1))
+        return F.when(ln > acc["l1"], F.struct(ln.alias("l1"), i.alias("i1"), acc["l1"].alias("l2"), acc["i1"].alias("i2"))) \
+            .when(ln > acc["l2"], F.struct(acc["l1"].alias("l1"), acc["i1"].alias("i1"), ln.alias("l2"), i.alias("i2"))) \
+            .otherwise(acc)
+
+    idx = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(idx, init, step)
+
+
+def _shout_at(words: Column, n: Column, a: Column, b: Column) -> Column:
+    """Words joined by spaces with the words at 0-based indices ``a`` and ``b``
+    (``a`` < ``b``; ``b`` may be null) upper-cased; slices, no per-word lambda."""
+    one = F.concat(F.slice(words, 1, a), F.array(F.upper(F.element_at(words, a + 1))),
+                   F.slice(words, a + 2, F.greatest(n - a - 1, F.lit(0))))
+    two = F.concat(F.slice(words, 1, a), F.array(F.upper(F.element_at(words, a + 1))),
+                   F.slice(words, a + 2, F.greatest(b - a - 1, F.lit(0))),
+                   F.array(F.upper(F.element_at(words, b + 1))),
+                   F.slice(words, b + 2, F.greatest(n - b - 1, F.lit(0))))
+    return F.array_join(F.when(b.isNull(), one).otherwise(two), " ")
 
 
 def with_tone_up(df: DataFrame, src: str, out: str, prefixes=TONE_UP_PREFIXES) -> DataFrame:
     """T5: deterministic sensationalizer (prefix by code-point hash, shout the
     longest word or two, one or two ``!``). Staged projections; the temporary
-    columns are dropped."""
+    columns are dropped. Per-word work is linear in the title length."""
     df = with_stripped_prefixes(df, src, "__tu_t", prefixes)
     df = df.withColumn("__tu_h", code_point_sum("__tu_t")) \
         .withColumn("__tu_w", split_words(F.regexp_replace("__tu_t", r"[.!? ]+$", "")))
     words, h = F.col("__tu_w"), F.col("__tu_h")
-    n = F.size(words)
-    df = df.withColumn("__tu_1", F.when(n > 3, _longest(words)))
-    df = df.withColumn("__tu_2", F.when((n > 5) & (h % 3 == 0), _longest(words, F.col("__tu_1"))))
-    first, second = F.col("__tu_1"), F.col("__tu_2")
-    shouted = F.transform(words, lambda w, i: F.when(
-        (i == first) | (F.coalesce(i == second, F.lit(False))), F.upper(w)).otherwise(w))
+    df = df.withColumns({"__tu_n": F.size(words), "__tu_top": _two_longest(words)})
+    n, top = F.col("__tu_n"), F.col("__tu_top")
+    first = top["i1"]
+    second = F.when((n > 5) & (h % 3 == 0), top["i2"])
+    a = F.least(first, F.coalesce(second, first))
+    b = F.when(second.isNotNull(), F.greatest(first, second))
+    body = F.when(n > 3, _shout_at(words, n, a, b)).otherwise(F.array_join(words, " "))
     bang = F.when(h % 2 == 0, F.lit("!")).otherwise(F.lit("!!"))
     pre = F.element_at(F.array(*[F.lit(p) for p in prefixes]), (h % len(prefixes)).cast("int") + 1)
-    return df.withColumn(out, F.when(F.col(src).isNotNull(), F.concat(pre, F.array_join(shouted, " "), bang))) \
-        .drop("__tu_t", "__tu_h", "__tu_w", "__tu_1", "__tu_2")
+    return df.withColumn(out, F.when(F.col(src).isNotNull(), F.concat(pre, body, bang))) \
+        .drop("__tu_t", "__tu_h", "__tu_w", "__tu_n", "__tu_top")
 
 
 def with_tone_up_seeded(df: DataFrame, src: str, out: str, u_word: Column, u_prefix: Column,
@@ -100,10 +119,11 @@ def with_tone_up_seeded(df: DataFrame, src: str, out: str, u_word: Column, u_pre
     n = F.size(words)
     pick = (F.lit(1) + F.floor(u_word * (n - 2))).cast("int")
     df = df.withColumn("__ts_i", F.when(n > 3, pick))
-    shouted = F.transform(words, lambda w, i: F.when(i == F.col("__ts_i"), F.upper(w)).otherwise(w))
+    i = F.col("__ts_i")
+    shouted = F.when(i.isNull(), F.array_join(words, " ")).otherwise(_shout_at(words, n, i, F.lit(None).cast("int")))
     pre = F.element_at(F.array(*[F.lit(p) for p in prefixes]),
                        (F.floor(u_prefix * len(prefixes))).cast("int") + 1)
-    return df.withColumn(out, F.when(F.col(src).isNotNull(), F.concat(pre, F.array_join(shouted, " "), F.lit("!")))) \
+    return df.withColumn(out, F.when(F.col(src).isNotNull(), F.concat(pre, shouted, F.lit("!")))) \
         .drop("__ts_w", "__ts_i")
 
 

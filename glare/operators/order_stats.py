@@ -45,9 +45,17 @@ def bisect_right(arr: Column, v: Column, max_len: int) -> Column:
 
 
 def _with_ranges(df: DataFrame, groups: Sequence[str], value: str,
-                 rows_per_range: int) -> DataFrame:
-    """Add ``__b``: the value-range index of each row inside its group."""
+                 rows_per_range: int, uniform: bool = False) -> DataFrame:
+    """Add ``__b``: the value-range index of each row inside its group.
+
+    ``uniform=True`` is for values spread evenly over [0, 1) (seeded hashes):
+    the range is ``floor(v * k)`` with ``k`` a multiple of the shuffle
+    partition count, so no sizing pass is needed.
+    """
     groups = list(groups)
+    if uniform:
+        k = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        return df.withColumn("__b", F.least(F.floor(F.col(value) * k), F.lit(k - 1)).cast("int"))
     if groups:
         sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__gn"))
         nmax = sizes.agg(F.max("__gn")).first()[0] or 0
@@ -103,11 +111,12 @@ def value_runs(df: DataFrame, groups: Sequence[str], value: str,
 
 
 def positions(df: DataFrame, groups: Sequence[str], value: str, tiebreak: str,
-              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+              rows_per_range: int = ROWS_PER_RANGE, uniform: bool = False) -> DataFrame:
     """Per-row 0-based ``__pos`` in (value, tiebreak) order within the group,
-    plus the group size ``__n``. Meant for near-unique keys (hashes, ids)."""
+    plus the group size ``__n``. Meant for near-unique keys (hashes, ids);
+    ``uniform`` for values evenly spread over [0, 1)."""
     groups = list(groups)
-    ranged = _with_ranges(df.withColumn("__one", F.lit(1)), groups, value, rows_per_range)
+    ranged = _with_ranges(df.withColumn("__one", F.lit(1)), groups, value, rows_per_range, uniform)
     offs = _range_offsets(ranged, groups, "__one")
     within = Window.partitionBy(*groups, "__b").orderBy(value, tiebreak)
     out = ranged.join(offs, [*groups, "__b"], "inner")

@@ -90,7 +90,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str, seed: int,
     u = seeded_uniform(seed, key)
     if not exact:
         return df.withColumn("split", F.when(u < fraction, "A").otherwise("B"))
-    h = df.withColumn("__h", seeded_key(seed, key))
-    pos = order_stats.positions(h, list(strata), "__h", tiebreak=key)
+    h = df.withColumn("__h", u)
+    pos = order_stats.positions(h, list(strata), "__h", tiebreak=key, uniform=True)
     return pos.withColumn("split", F.when(F.col("__pos") < F.floor(F.col("__n") * fraction), "A")
                           .otherwise("B")).drop("__pos", "__n", "__h")

@@ -194,7 +194,8 @@ def bayes_logistic(df: DataFrame, xcols: Sequence[str], y: str, prior_sd: Sequen
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     P = np.diag(1.0 / np.asarray(prior_sd, float) ** 2)
     if method == "auto":
-        method = "sql" if q <= 5 else "arrow"
+        # literals change every step, so the SQL form recompiles each time
+        method = "arrow"
     step = _logit_step_sql if method == "sql" else _logit_step_arrow
     beta = np.zeros(q)
     it = 0
@@ -207,10 +208,10 @@ def bayes_logistic(df: DataFrame, xcols: Sequence[str], y: str, prior_sd: Sequen
             beta = beta + delta
             if np.max(np.abs(delta)) < tol:
                 break
-        _, H = step(d, q, beta)
     finally:
         d.unpersist()
-    cov = np.linalg.inv(H + P)
+    # curvature from the last step: the mode moved by < tol since it was taken
+    cov = np.linalg.inv(H)
     rng = np.random.default_rng(seed)
     dr = rng.multivariate_normal(beta, cov, size=chains * draws, method="cholesky").reshape(chains, draws, q)
     return Posterior(model, list(names or xcols), beta, cov, dr, {"newton_steps": it})

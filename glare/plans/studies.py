@@ -16,6 +16,7 @@ from ..operators import order_stats, prep, scale
 from ..operators.gram import gram_long
 from ..sources import standins
 from ..sources.files import read_table
+from ..session import memo, persisted
 from . import bayes, linear, posterior
 
 SEED = 42
@@ -38,9 +39,12 @@ def corpus(spark: SparkSession, base: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, base: str, lex=standins.CORPUS_LEXICONS) -> DataFrame:
-    """Keys + 13 features for the deduplicated corpus."""
-    c = corpus(spark, base).select("doc_id", "title", "source", "fake", "n_tweets", "domain")
-    return with_style_features(c, "title", lex)
+    """Keys + 13 features for the deduplicated corpus (persisted
+    once per application: every model stage reads it several times)."""
+    def build():
+        c = corpus(spark, base).select("doc_id", "title", "source", "fake", "n_tweets", "domain")
+        return persisted(with_style_features(c, "title", lex))
+    return memo(spark, ("feature_table", base, lex), build)
 
 
 def title_features(spark: SparkSession, base: str) -> DataFrame:
@@ -178,12 +182,15 @@ def ridge_one_feature(spark: SparkSession, base: str) -> DataFrame:
 
 
 def attention_holdout(spark: SparkSession, base: str):
-    """M3: ridge on split A, average-tie percentile rank on split B."""
-    s = split_corpus(spark, base)
-    s = s.persist()
-    a, b = s.where(F.col("split") == "A"), s.where(F.col("split") == "B")
-    ranked, model = linear.attention_score(a, b, SCORE_FEATURES, "log_engagement")
-    return ranked, model
+    """M3: ridge on split A, average-tie percentile rank on split B. The
+    scored holdout and the model are kept for the application, as the study
+    keeps them as files for its later stages."""
+    def build():
+        s = persisted(split_corpus(spark, base))
+        a, b = s.where(F.col("split") == "A"), s.where(F.col("split") == "B")
+        ranked, model = linear.attention_score(a, b, SCORE_FEATURES, "log_engagement")
+        return persisted(ranked), model
+    return memo(spark, ("attention_holdout", base), build)
 
 
 def attention_score(spark: SparkSession, base: str) -> DataFrame:

@@ -62,3 +62,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor does not force recomputation from the raw scan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_MEMO: dict = {}
+
+
+def memo(spark: SparkSession, key, build):
+    """Session-scoped reuse of an intermediate result (a persisted feature
+    table, a fitted score model): later entry points of the same application
+    read it instead of recomputing, as the study's stages read the previous
+    stage's files."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) for a table read by several actions."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -92,6 +92,17 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` only when the scan gives fewer
+    partitions than the cluster has cores (a few large files): heavy per-row
+    text work then uses every core. On a cluster scan the file splits
+    already exceed the core count and nothing is added."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet sink (overwrite), optionally partitioned."""
     w = df.write.mode("overwrite")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import Lexicons
 from ..functions.text import first_line, item_count, url_host
-from .files import read_table
+from .files import read_table, spread
 
 SOURCE_GROUPS = ("g0", "g1")
 
@@ -49,7 +49,7 @@ def headlines(spark: SparkSession, base: str, labelled: bool = False,
     text never crosses a shuffle (``title`` and ``n_tweets`` are computed in
     the scan stage).
     """
-    docs = read_table(spark, base, "documents").select("doc_id", "text", "source")
+    docs = spread(read_table(spark, base, "documents").select("doc_id", "text", "source"), "doc_id")
     num = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     df = docs.select(
         "doc_id",
