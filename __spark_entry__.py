@@ -62,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_gap": S.pair_gap,
         "pair_summary": S.pair_summary,
         "variant_scores": S.variant_scores,
+        "lexicon_sentiment": S.lexicon_sentiment,
     }
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import order_stats
 from ..operators.gram import gram
-from ..session import persisted
+from ..session import cut_lineage
 
 
 @dataclass
@@ -80,8 +80,9 @@ def score_against_reference(df: DataFrame, model: RidgeModel, reference: DataFra
                             ref_col: str = "raw_score", out: str = "attention_score") -> DataFrame:
     """M4: out-of-sample score = share of the reference raw scores strictly
     below this row's raw score."""
-    # the scored rows are read twice (distinct scores, then the join back)
-    scored = persisted(df.withColumn("__raw", model.raw_score()))
+    # the scored rows are read twice (distinct scores, then the join back);
+    # a checkpoint keeps both plans short
+    scored = cut_lineage(df.withColumn("__raw", model.raw_score()))
     return order_stats.share_below(scored, "__raw", reference, ref_col, out).drop("__raw")
 
 

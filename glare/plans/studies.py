@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import rewrite as R
+from ..functions.sentiment import sentiment_scores
 from ..functions.text import ALL_FEATURES, LEXICAL_FEATURES, STYLE_FEATURES, with_style_features
 from ..operators import order_stats, prep, scale
 from ..operators.gram import gram_long
 from ..sources import standins
 from ..sources.files import read_table
-from ..session import memo, persisted
+from ..session import cut_lineage, memo, persisted
 from . import bayes, linear, posterior
 
 SEED = 42
@@ -38,12 +39,19 @@ def corpus(spark: SparkSession, base: str) -> DataFrame:
     return prep.dedup_keep_first(h, "title", "ord")
 
 
+def featurize(spark: SparkSession, df: DataFrame, key: str, text: str,
+              lex=standins.CORPUS_LEXICONS) -> DataFrame:
+    """F15 with N1: the 13 style features, sentiment from the lexicon job."""
+    sent = sentiment_scores(df, key, text, standins.sentiment_lexicon(spark))
+    return with_style_features(df, text, lex, sentiment=sent, sentiment_key=key)
+
+
 def feature_table(spark: SparkSession, base: str, lex=standins.CORPUS_LEXICONS) -> DataFrame:
     """Keys + 13 features for the deduplicated corpus (persisted
     once per application: every model stage reads it several times)."""
     def build():
         c = corpus(spark, base).select("doc_id", "title", "source", "fake", "n_tweets", "domain")
-        return persisted(with_style_features(c, "title", lex))
+        return cut_lineage(featurize(spark, c, "doc_id", "title", lex))
     return memo(spark, ("feature_table", base, lex), build)
 
 
@@ -186,10 +194,10 @@ def attention_holdout(spark: SparkSession, base: str):
     scored holdout and the model are kept for the application, as the study
     keeps them as files for its later stages."""
     def build():
-        s = persisted(split_corpus(spark, base))
+        s = cut_lineage(split_corpus(spark, base))
         a, b = s.where(F.col("split") == "A"), s.where(F.col("split") == "B")
         ranked, model = linear.attention_score(a, b, SCORE_FEATURES, "log_engagement")
-        return persisted(ranked), model
+        return cut_lineage(ranked), model
     return memo(spark, ("attention_holdout", base), build)
 
 
@@ -295,8 +303,9 @@ def pair_table(spark: SparkSession, base: str, n: int = 200):
                                   prep.seeded_uniform(SEED, "doc_id", F.lit("word")),
                                   prep.seeded_uniform(SEED, "doc_id", F.lit("prefix")))
     long = pairs.select("doc_id", R.variants("neutral", "neutral", "sensational").alias("v")) \
-        .select("doc_id", "v.version", "v.text").where(F.col("version") != "down")
-    f = with_style_features(long, "text", standins.CORPUS_LEXICONS)
+        .select("doc_id", "v.version", "v.text").where(F.col("version") != "down") \
+        .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
+    f = featurize(spark, long, "__vid", "text")
     ref = ranked.select("raw_score")
     scored = linear.score_against_reference(f, model, ref, "raw_score", "score")
     z, _ = scale.standardize(scored, PAIR_STYLE_UP, ddof=1, zero_policy="epsilon", suffix="_z")
@@ -308,7 +317,8 @@ def pair_table(spark: SparkSession, base: str, n: int = 200):
         F.max(F.when(F.col("version") == "up", F.col("score"))).alias("score_sensational"),
         (F.max(F.when(F.col("version") == "up", F.col("style")))
          - F.max(F.when(F.col("version") == "original", F.col("style")))).alias("style_gap"))
-    return wide.withColumn("gap", F.col("score_sensational") - F.col("score_neutral"))
+    # read by several aggregates (gap posterior, style accuracy)
+    return persisted(wide.withColumn("gap", F.col("score_sensational") - F.col("score_neutral")))
 
 
 def pair_gap(spark: SparkSession, base: str) -> DataFrame:
@@ -342,8 +352,9 @@ def variant_scores(spark: SparkSession, base: str) -> DataFrame:
     h = h.withColumn("down", R.tone_down("original", standins.CORPUS_LEXICONS))
     h = R.with_tone_up(h, "original", "up")
     long = h.select("doc_id", R.variants("original", "down", "up").alias("v"), "original", "down") \
-        .select("doc_id", "v.version", "v.text", (F.col("down") == F.col("original")).alias("down_unchanged"))
-    f = with_style_features(long, "text", standins.CORPUS_LEXICONS)
+        .select("doc_id", "v.version", "v.text", (F.col("down") == F.col("original")).alias("down_unchanged")) \
+        .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
+    f = featurize(spark, long, "__vid", "text")
     s = linear.score_against_reference(f, model, ranked.select("raw_score"), "raw_score", "score")
     c = F.col("score") - F.lit(float(mean_score))
     ma, mb = float(post.mean[0]), float(post.mean[1])
@@ -351,8 +362,8 @@ def variant_scores(spark: SparkSession, base: str) -> DataFrame:
     mu = F.lit(ma) + F.lit(mb) * c
     sd = F.sqrt(F.lit(va) + c * c * F.lit(vb) + F.lit(2 * cab) * c)
     band = posterior.logistic_band(mu, sd, 0.03, 0.97)
-    out = s.select("doc_id", "version", "text", "down_unchanged", "score",
-                   *[v.alias(k) for k, v in band.items()])
+    out = persisted(s.select("doc_id", "version", "text", "down_unchanged", "score", "vader_neg",
+                             "emotional_intensity", *[v.alias(k) for k, v in band.items()]))
     orig = out.where(F.col("version") == "original").select("doc_id", F.col("score").alias("__s0"))
     return out.join(orig, "doc_id").withColumn("score_vs_original", F.col("score") - F.col("__s0")).drop("__s0")
 
@@ -371,3 +382,11 @@ def percentile_vs_reference(spark: SparkSession, base: str) -> DataFrame:
     ref = read_table(spark, base, "orders").select("o_totalprice")
     r = order_stats.share_below(li, "l_extendedprice", ref, "o_totalprice", "pct")
     return r.select("l_orderkey", "l_linenumber", _r("pct").alias("pct"))
+
+
+def lexicon_sentiment(spark: SparkSession, base: str) -> DataFrame:
+    """N1 over every headline with the test lexicon."""
+    h = standins.headlines(spark, base).select("doc_id", "title")
+    s = sentiment_scores(h, "doc_id", "title", standins.sentiment_lexicon(spark))
+    return s.select("doc_id", *[_r(c).alias(c) for c in ("vader_pos", "vader_neg", "vader_compound",
+                                                         "emotional_intensity")])

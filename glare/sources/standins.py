@@ -40,6 +40,16 @@ ARMS_LEXICONS = Lexicons(
     replacements=(("hot", "warm"),),
 )
 
+# Sentiment test lexicon: frequent corpus tokens with hand-set valences.
+CORPUS_SENTIMENT = (
+    ("the", 1.8), ("and", 0.9), ("la", 2.0), ("en", 1.2), ("good", 1.9),
+    ("le", -1.4), ("der", -2.1), ("of", -0.6), ("die", -1.7), ("bad", -2.5),
+)
+
+
+def sentiment_lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CORPUS_SENTIMENT), "token string, valence double")
+
 
 def headlines(spark: SparkSession, base: str, labelled: bool = False,
               with_url: bool = False) -> DataFrame:
