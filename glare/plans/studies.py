@@ -338,36 +338,56 @@ def pair_summary(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Q6
-def variant_scores(spark: SparkSession, base: str) -> DataFrame:
-    """Q6: every headline's three versions scored: attention percentile
-    against the split-B reference (M4) and P(fake) with a 94% band from the
-    pooled logistic posterior (M12, closed form over the Laplace posterior)."""
-    ranked, model = attention_holdout(spark, base)
-    d = _pooled_design(ranked)
-    post = bayes.bayes_logistic(d, ["one", "a", "gossip", "tlen"], "fake", [2.5, 2, 2, 2],
-                                names=["alpha", "b_attention", "b_gossipcop", "b_title_len"], model="pooled_logit")
-    mean_score = ranked.agg(F.avg("attention_score")).first()[0]
-    h = standins.headlines(spark, base).select("doc_id", F.col("title").alias("original")) \
-        .where(F.col("original").isNotNull())
+def score_versions(spark: SparkSession, texts: DataFrame, model, reference: DataFrame,
+                   band: dict) -> DataFrame:
+    """Q6 body for any (doc_id, text) frame, batch or micro-batch: first line
+    as headline (C3), toned-down and toned-up versions (T1, T5, T7), features,
+    out-of-sample attention percentile (M4), P(fake) band (M12), differences
+    from the original (C8)."""
+    from ..functions.text import first_line
+    h = texts.select("doc_id", first_line("text").alias("original")).where(F.col("original").isNotNull())
     h = h.withColumn("down", R.tone_down("original", standins.CORPUS_LEXICONS))
     h = R.with_tone_up(h, "original", "up")
     long = h.select("doc_id", R.variants("original", "down", "up").alias("v"), "original", "down") \
         .select("doc_id", "v.version", "v.text", (F.col("down") == F.col("original")).alias("down_unchanged")) \
         .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
     f = featurize(spark, long, "__vid", "text")
-    s = linear.score_against_reference(f, model, ranked.select("raw_score"), "raw_score", "score")
-    c = F.col("score") - F.lit(float(mean_score))
-    ma, mb = float(post.mean[0]), float(post.mean[1])
-    va, vb, cab = float(post.cov[0, 0]), float(post.cov[1, 1]), float(post.cov[0, 1])
-    mu = F.lit(ma) + F.lit(mb) * c
-    sd = F.sqrt(F.lit(va) + c * c * F.lit(vb) + F.lit(2 * cab) * c)
-    band = posterior.logistic_band(mu, sd, 0.03, 0.97)
+    s = linear.score_against_reference(f, model, reference, "raw_score", "score")
+    c = F.col("score") - F.lit(band["mean_score"])
+    mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
+    sd = F.sqrt(F.lit(band["va"]) + c * c * F.lit(band["vb"]) + F.lit(2 * band["cab"]) * c)
+    bands = posterior.logistic_band(mu, sd, 0.03, 0.97)
     out = persisted(s.select("doc_id", "version", "text", "down_unchanged", "score", "vader_neg",
-                             "emotional_intensity", *[v.alias(k) for k, v in band.items()]))
+                             "emotional_intensity", *[v.alias(k) for k, v in bands.items()]))
     orig = out.where(F.col("version") == "original").select("doc_id", F.col("score").alias("__s0"))
     return out.join(orig, "doc_id").withColumn("score_vs_original", F.col("score") - F.col("__s0")).drop("__s0")
 
 
+def scoring_artifacts(spark: SparkSession, base: str):
+    """Fitted score model, reference raw scores and the pooled-logit band
+    parameters (the study's bundle, trace and holdout mean)."""
+    def build():
+        ranked, model = attention_holdout(spark, base)
+        d = _pooled_design(ranked)
+        post = bayes.bayes_logistic(d, ["one", "a", "gossip", "tlen"], "fake", [2.5, 2, 2, 2],
+                                    names=["alpha", "b_attention", "b_gossipcop", "b_title_len"],
+                                    model="pooled_logit")
+        band = {"mean_score": float(ranked.agg(F.avg("attention_score")).first()[0]),
+                "ma": float(post.mean[0]), "mb": float(post.mean[1]), "va": float(post.cov[0, 0]),
+                "vb": float(post.cov[1, 1]), "cab": float(post.cov[0, 1])}
+        return model, ranked.select("raw_score"), band
+    return memo(spark, ("scoring_artifacts", base), build)
+
+
+def variant_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Q6: every headline's three versions scored: attention percentile
+    against the split-B reference (M4) and P(fake) with a 94% band from the
+    pooled logistic posterior (M12, closed form over the Laplace posterior)."""
+    model, reference, band = scoring_artifacts(spark, base)
+    texts = read_table(spark, base, "documents").select("doc_id", "text")
+    return score_versions(spark, texts, model, reference, band)
+
+
 # ---------------------------------------------------------------- ranks
 def percentile_rank_avg(spark: SparkSession, base: str) -> DataFrame:
     """W2 over a whole table column."""
