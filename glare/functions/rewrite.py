@@ -133,3 +133,15 @@ def variants(original: str, down: str, up: str, name: str = "version", text: str
         F.struct(F.lit("down").alias(name), F.col(down).alias(text)),
         F.struct(F.lit("original").alias(name), F.col(original).alias(text)),
         F.struct(F.lit("up").alias(name), F.col(up).alias(text))))
+
+
+def with_external_rewrites(df: DataFrame, rewrites: DataFrame, key: str, out: str,
+                           rewrite_col: str = "rewrite", fallback: Column | None = None) -> DataFrame:
+    """Rewrites produced outside the engine (for example by a language
+    model run elsewhere) arrive as a table ``(key, rewrite)`` and are joined
+    by id; rows without one fall back to ``fallback`` (a rule rewrite) or
+    stay null. The engine itself makes no network calls."""
+    r = rewrites.select(F.col(key), F.col(rewrite_col).alias("__ext"))
+    j = df.join(r, key, "left")
+    val = F.col("__ext") if fallback is None else F.coalesce(F.col("__ext"), fallback)
+    return j.withColumn(out, val).drop("__ext")

@@ -16,7 +16,7 @@ from ..functions.text import ALL_FEATURES, LEXICAL_FEATURES, STYLE_FEATURES, wit
 from ..operators import order_stats, prep, scale
 from ..operators.gram import gram_long
 from ..sources import standins
-from ..sources.files import read_table
+from ..sources.files import read_table, spread
 from ..session import cut_lineage, memo, persisted
 from . import bayes, linear, posterior
 
@@ -384,7 +384,7 @@ def variant_scores(spark: SparkSession, base: str) -> DataFrame:
     against the split-B reference (M4) and P(fake) with a 94% band from the
     pooled logistic posterior (M12, closed form over the Laplace posterior)."""
     model, reference, band = scoring_artifacts(spark, base)
-    texts = read_table(spark, base, "documents").select("doc_id", "text")
+    texts = spread(read_table(spark, base, "documents").select("doc_id", "text"), "doc_id")
     return score_versions(spark, texts, model, reference, band)
 
 

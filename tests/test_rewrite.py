@@ -60,3 +60,11 @@ def test_seeded_tone_up_is_deterministic(spark):
         words = r.s.split(": ", 1)[1].rstrip("!").split()
         shouted = [i for i, w in enumerate(words) if w.isupper()]
         assert len(shouted) == 1 and 0 < shouted[0] < len(words) - 1
+
+
+def test_external_rewrites_join(spark):
+    df = spark.createDataFrame([(1, "A b c"), (2, "D e f")], "id long, t string")
+    ext = spark.createDataFrame([(1, "rewritten")], "id long, rewrite string")
+    out = R.with_external_rewrites(df, ext, "id", "down", fallback=R.tone_down("t"))
+    got = {r.id: r.down for r in out.collect()}
+    assert got == {1: "rewritten", 2: "D e f"}
