@@ -47,8 +47,8 @@ def featurize(spark: SparkSession, df: DataFrame, key: str, text: str,
 
 
 def feature_table(spark: SparkSession, base: str, lex=standins.CORPUS_LEXICONS) -> DataFrame:
-    """Keys + 13 features for the deduplicated corpus (persisted
-    once per application: every model stage reads it several times)."""
+    """Keys + 13 features for the deduplicated corpus, checkpointed
+    once per application: every model stage reads it several times."""
     def build():
         c = corpus(spark, base).select("doc_id", "title", "source", "fake", "n_tweets", "domain")
         return cut_lineage(featurize(spark, c, "doc_id", "title", lex))
