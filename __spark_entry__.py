@@ -25,6 +25,13 @@ from glare.functions.text import LINE_BREAK, PY_SPACE  # noqa: E402
 from glare.plans import studies as S  # noqa: E402
 from glare.sources import standins  # noqa: E402
 
+try:  # the training-data operators and the pipeline; the rest works without them
+    import glare.llm.registry as training_data  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("glare.llm", "glare.llm.registry", "corpus_pipeline"):
+        raise
+    training_data = None
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: within-test causal effects of headline style (Q4) on sf0.001."""
@@ -63,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_summary": S.pair_summary,
         "variant_scores": S.variant_scores,
         "lexicon_sentiment": S.lexicon_sentiment,
-    }
+    } | (training_data.QUERIES if training_data else {})
 
 
 # ----------------------------------------------------------------- oracle
@@ -292,4 +299,4 @@ per AS (SELECT param, chain, half, count(*) AS h, avg(value) AS m, var_samp(valu
 agg AS (SELECT param, min(h) AS h, var_samp(m) AS bh, avg(v) AS w FROM per GROUP BY param)
 SELECT param, round(sqrt(((h - 1) / h * w + bh) / w), 9) AS r_hat FROM agg""",
         "tone_down": _tone_down_sql(),
-    }
+    } | (training_data.ORACLES if training_data else {})
