@@ -6,6 +6,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glare.session import checkpoint_dir
 
@@ -56,3 +57,22 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+
+
+#: most rows of ids that are broadcast (8 bytes each); more are joined by shuffle
+BROADCAST_IDS = 1_000_000
+
+
+def semi(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` is among ``ids`` (a written table): broadcast if they are
+    few by count, else a shuffled semi-join; same rows either way."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, on, "leftsemi")
+
+
+def anti(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` is null or not among ``ids`` (a written table)."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, on, "leftanti")

@@ -2,13 +2,19 @@
 from __future__ import annotations
 
 from glare.llm.bpe_codec import op1_bpe_codec
+from glare.llm.minhash import op6_minhash
 from glare.llm.packing import op3_packing
+from glare.llm import quality
 from glare.llm.rans import op4_rans
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_quality": quality.op2_quality,
     "op3_packing": op3_packing,
     "op4_rans": op4_rans,
+    "op6_minhash": op6_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality": quality.SQL,
+}
