@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from glare.llm.bpe_codec import op1_bpe_codec
 from glare.llm.minhash import op6_minhash
+from glare.llm.pii import op9_pii
 from glare.llm.packing import op3_packing
 from glare.llm import quality
+from glare.llm.toxicity import op7_toxicity
 from glare.llm.rans import op4_rans
 
 QUERIES = {
@@ -13,6 +15,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_rans": op4_rans,
     "op6_minhash": op6_minhash,
+    "op7_toxicity": op7_toxicity,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
