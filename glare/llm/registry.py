@@ -5,7 +5,7 @@ from glare.llm.bpe_codec import op1_bpe_codec
 from glare.llm.minhash import op6_minhash
 from glare.llm.pii import op9_pii
 from glare.llm.packing import op3_packing
-from glare.llm import quality
+from glare.llm import quality, warc
 from glare.llm.toxicity import op7_toxicity
 from glare.llm.rans import op4_rans
 
@@ -16,9 +16,11 @@ QUERIES = {
     "op4_rans": op4_rans,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": warc.op8_warc,
     "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.SQL,
+    "op8_warc": warc.SQL,
 }

@@ -26,7 +26,7 @@ WIDTH, SPACE_WIDTH, LEAST_MATCH = 2, 6, 7
 #: a run trains the toxic dictionary if it is in this many toxic training
 #: documents at least and this many times (log) as frequent there
 RUN_DOCS, RUN_LIFT, RUNS_PER_DOC = 3, 3.0, 6
-FOLDS, HELD_OUT = 3, 1
+FOLDS, HELD_OUT, CALIBRATION_SHARE = 3, 1, 4
 
 _FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -155,17 +155,14 @@ MEASURES = ("m0", "m1", "m2", "m3")
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Logistic weights (intercept first) of the measures; the rarer class weighs
-    more, by the square root of what would make both weigh alike."""
+    """Logistic weights (intercept first) of the measures, so that a score is
+    the share of toxic documents among labelled ones with such measures."""
     x = np.column_stack([np.ones(len(x)), x])
-    n1 = max(1, int(y.sum()))
-    n0 = max(1, len(y) - n1)
-    w = np.sqrt(np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0)))
     beta, ridge = np.zeros(x.shape[1]), np.array([1e-3, *[0.1] * (x.shape[1] - 1)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (w * (y - p)) - ridge * beta
-        hess = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
+        grad = x.T @ (y - p) - ridge * beta
+        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         beta = beta + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
@@ -192,36 +189,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic") -> tuple[tuple[bytes, bytes], np.ndarray]:
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
-    Dictionaries of fold 0 measure fold 2, and that calibrates the scores; the
-    dictionaries that are used are then trained on both folds. All are bounded
-    samples, by hash of the id (see TRAIN_DOCS, CALIBRATION_DOCS, LONGEST). Rows
-    without a label or id teach nothing; a repeated label row counts once; with labels of
+    One row in CALIBRATION_SHARE (by hash of the id) calibrates, the others train
+    the dictionaries. Both are bounded samples, by another hash of the id (see
+    TRAIN_DOCS, CALIBRATION_DOCS, LONGEST). Rows without a label or id teach nothing; a repeated label row counts once; with labels of
     one class only, every score is that class's share."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.withColumn("fold", fold_of(F.col("id"))).withColumn("h", F.xxhash64("id"))
+    known = known.filter(fold_of(F.col("id")) != HELD_OUT).withColumn("h", F.xxhash64("id"))
+    calibrates = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(CALIBRATION_SHARE)) == 0
 
     def sample(rows: DataFrame, most: int) -> DataFrame:
         return materialize(rows.orderBy("h", "id").limit(most).select("id", "y"), "labelled")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     short = texts.filter(F.length("t") <= LONGEST // 4)
-    parts = {}
+    parts = []
     for y in (1, 0):
-        ids = sample(known.filter((F.col("fold") != HELD_OUT) & (F.col("y") == y)), TRAIN_DOCS)
-        rows = semi(short, ids, "id").withColumn("fold", fold_of(F.col("id"))).orderBy(F.xxhash64("id"), "t").collect()
-        parts[y] = [(r["fold"], plain(r["t"])) for r in rows]
-
-    def dictionaries(folds):
-        return train_dictionaries(*([b for f, b in parts[y] if f in folds] for y in (1, 0)))
-
-    contents = dictionaries((0,))
-    ids = sample(known.filter(F.col("fold") == 2), CALIBRATION_DOCS)
+        ids = sample(known.filter(~calibrates & (F.col("y") == y)), TRAIN_DOCS)
+        rows = semi(short, ids, "id").orderBy(F.xxhash64("id"), "t").collect()
+        parts.append([plain(r["t"]) for r in rows])
+    contents = train_dictionaries(*parts)
+    ids = sample(known.filter(calibrates), CALIBRATION_DOCS)
     rows = (_measured(semi(texts, ids, "id"), contents, ["id"], "t").join(ids, "id")
             .select("y", *MEASURES).orderBy("y", *MEASURES).collect())
     x = np.array([[r[m] for m in MEASURES] for r in rows]).reshape(-1, len(MEASURES))
     y = np.array([r["y"] for r in rows], dtype=int)
-    return dictionaries((0, 2)), calibrate(x, y)
+    return contents, calibrate(x, y)
 
 
 def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], np.ndarray], id_col: str = "doc_id",
