@@ -21,6 +21,8 @@ CACHE_WORDS = 400_000
 SMALL_BUCKET = 32
 #: star rounds over larger residual buckets before their last pairs are compared
 STAR_ROUNDS = 3
+#: 64-bit words of the sketch that bounds what two sets share
+SKETCH_WORDS = 32
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -144,12 +146,15 @@ def _alike(n: str, m: str):
     return F.least(F.col(n), F.col(m)) * DEN >= F.greatest(F.col(n), F.col(m)) * NUM
 
 
-def _shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, c): how many shingles of a set occur in sets of other components
-    among ``members``. No pair across components can share more than the lesser
-    c of the two. Shingles are compared by 32 bits: c may be too high, never
-    too low."""
-    ids = materialize(members.select("rep", "comp").distinct(), "residual-ids")
+def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, c, lost, s0...): of each set, how many shingles occur in sets of
+    other components among ``members``, a bitmap of those shingles, and how many
+    of them share a bit or a 32-bit hash with another one.
+
+    No pair across components can share more than the lesser c of the two, nor
+    more than the common bits plus the lesser ``lost``: what is counted twice is
+    given back, so both bounds hold for the full sets."""
+    ids = materialize(members.select("rep", "comp", "n").distinct(), "residual-ids")
 
     def run(batches):
         for b in batches:
@@ -159,14 +164,20 @@ def _shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array(x)],
                                                  ["rep", "comp", "x"])
 
-    # sets whose 32-bit shingles coincide count them once; the difference is given back below
     rows = materialize(ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "comp", "s")
                        .mapInArrow(run, "rep long, comp long, x int"), "residual-shingles")
     common = materialize(rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                          .filter("lo <> hi").select("x"), "common-shingles")
-    own = rows.groupBy("rep").agg(F.count("*").alias("distinct_x"))
-    c = rows.join(common, "x").groupBy("rep").agg(F.count("*").alias("c"))
-    return own.join(c, "rep", "left").select("rep", F.coalesce("c", F.lit(0)).alias("c"), "distinct_x")
+    word = F.pmod(F.shiftright("x", 6), F.lit(SKETCH_WORDS))
+    bit = F.expr("shiftleft(1L, x & 63)")
+    bits = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"s{i}") for i in range(SKETCH_WORDS)]
+    own = rows.groupBy("rep").agg(F.count("*").alias("values"))
+    found = rows.join(common, "x").groupBy("rep").agg(F.count("*").alias("shared"), *bits)
+    merged = F.col("n") - F.col("values")
+    set_bits = sum(F.bit_count(f"s{i}") for i in range(SKETCH_WORDS))
+    return (ids.join(own, "rep").join(found, "rep")
+            .select("rep", (F.col("shared") + merged).alias("c"), (F.col("shared") - set_bits + merged).alias("lost"),
+                    *(f"s{i}" for i in range(SKETCH_WORDS))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked at again: small ones give their pairs across components; in large
     ones the classes that share too few shingles with other components for any
     link are set aside (an exact bound), the others are compared with the class
-    that shares most, and after ``STAR_ROUNDS`` pairwise across components.
+    that shares most, and once that finds no more links, at the latest after
+    ``STAR_ROUNDS``, all pairs across components that the bound allows.
 
     Null or empty texts, and texts without words, have an empty set and link
     with nothing. Rows with a null id are reported with a null component and
@@ -221,38 +233,42 @@ def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _across(m: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and shared
-    shingles (``c``, where known) allow."""
-    x = m.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("c").alias("as"))
-    y = m.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("c").alias("bs"))
-    room = (F.col("an") + F.col("bn")) * NUM <= F.least("as", "bs") * (NUM + DEN)
-    return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))
-                  & _alike("an", "bn") & room).select("a", "b")
+    """Pairs of one bucket in different components that their sizes and, where
+    known, their shared shingles allow."""
+    x, y = m.alias("x"), m.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+          & _alike("x.n", "y.n"))
+    if "c" in m.columns:
+        most = F.least(F.least("x.c", "y.c"),
+                       sum(F.bit_count(F.col(f"x.s{i}").bitwiseAND(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS))
+                       + F.least("x.lost", "y.lost"))
+        on = on & (both * NUM <= most * (NUM + DEN))
+    return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components after every pair that shares a bucket has been settled."""
     groups = materialize(connected_components(links), "groups")
     left = _split_buckets(members, groups)
-    small = left.filter(F.col("k") <= SMALL_BUCKET).withColumn("c", F.col("n"))
+    small = left.filter(F.col("k") <= SMALL_BUCKET)
     links = links.unionByName(verified(_across(small), sets))
     large = left.filter(F.col("k") > SMALL_BUCKET)
     for turn in range(STAR_ROUNDS + 1):
         if large.isEmpty():
             break
-        c = materialize(_shared_sizes(large, sets), "shared")
-        able = (large.join(c, "rep").withColumn("c", F.col("c") + F.col("n") - F.col("distinct_x")).drop("distinct_x")
-                .filter((F.col("n") + F.col("least")) * NUM <= F.col("c") * (NUM + DEN)))
-        able = materialize(able, "able")
-        if turn == STAR_ROUNDS:
-            links = links.unionByName(verified(_across(able), sets))
+        able = materialize(large.join(materialize(_shared(large, sets), "shared"), "rep")
+                           .filter((F.col("n") + F.col("least")) * NUM <= F.col("c") * (NUM + DEN)), "able")
+        centre = F.max(F.struct(F.col("c") / F.col("n"), F.col("rep"), F.col("n"), F.col("comp")))
+        centres = materialize(able.groupBy("key").agg(centre.alias("x"))
+                              .select("key", F.col("x.rep").alias("a"), F.col("x.n").alias("m"), F.col("x.comp").alias("h")),
+                              "centres")
+        pairs = able.join(centres, "key").filter((F.col("comp") != F.col("h")) & _alike("n", "m"))
+        star = verified(pairs.select("a", F.col("rep").alias("b")), sets)
+        if turn == STAR_ROUNDS or star.isEmpty():
+            links = links.unionByName(star).unionByName(verified(_across(able), sets))
             break
-        centre = materialize(able.groupBy("key").agg(F.max(F.struct(F.col("c") / F.col("n"), F.col("rep"), F.col("n"),
-                                                                    F.col("comp"))).alias("x"))
-                             .select("key", F.col("x.rep").alias("a"), F.col("x.n").alias("m"), F.col("x.comp").alias("h")),
-                             "centres")
-        pairs = able.join(centre, "key").filter((F.col("comp") != F.col("h")) & _alike("n", "m"))
-        links = links.unionByName(verified(pairs.select("a", F.col("rep").alias("b")), sets))
+        links = links.unionByName(star)
         groups = materialize(connected_components(links), "groups")
         large = _split_buckets(able.select("key", "rep", "n"), groups)
     return materialize(connected_components(links), "groups"), links
