@@ -5,7 +5,7 @@ from glare.llm.bpe_codec import op1_bpe_codec
 from glare.llm.minhash import op6_minhash
 from glare.llm.pii import op9_pii
 from glare.llm.packing import op3_packing
-from glare.llm import quality, warc
+from glare.llm import chat, quality, warc
 from glare.llm.toxicity import op7_toxicity
 from glare.llm.rans import op4_rans
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_packing": op3_packing,
     "op4_rans": op4_rans,
+    "op5_chat": chat.op5_chat,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
     "op8_warc": warc.op8_warc,
@@ -22,5 +23,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.SQL,
+    "op5_chat": chat.SQL,
     "op8_warc": warc.SQL,
 }
