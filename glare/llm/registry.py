@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from glare.llm.bpe_codec import op1_bpe_codec
+from glare.llm.embeddings import op10_embeddings
 from glare.llm.minhash import op6_minhash
 from glare.llm.pii import op9_pii
 from glare.llm.packing import op3_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_warc": warc.op8_warc,
     "op9_pii": op9_pii,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {
