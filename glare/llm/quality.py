@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glare.llm.common import ASCII_SPACE, materialize, table
+from glare.llm.common import ASCII_SPACE, BROADCAST_IDS, materialize, table
 
 #: base rules of the contract
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -20,10 +20,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{ASCII_SPACE}+"), lambda w: w != "")
 
 
+def _normal(text: Column) -> Column:
+    """Lower case, white space runs but line ends as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "))
+
+
 def _normal_lines(text: Column) -> Column:
-    """Lines with a word: lower case, white space runs as one space, none at the ends."""
-    flat = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Normalised lines with a word."""
+    return F.filter(F.transform(F.split(_normal(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -92,6 +96,19 @@ def line_verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
     return lines, above
 
 
+def depleted_texts(lines: DataFrame, above: DataFrame, depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
+    """(host, th, hashes): the texts of a host that lose lines, with the hashes
+    of the lost lines, and depleted."""
+    gone = F.col("first").isNotNull() & (F.col("first") != F.col("th"))
+    return materialize(
+        lines.join(above, ["host", "h"], "left").groupBy("host", "th")
+        .agg(F.sum("w").alias("all"), F.sum(F.when(gone, F.col("w")).otherwise(0)).alias("removed"),
+             F.collect_list(F.when(gone, F.col("h"))).alias("hashes"))
+        .filter("removed > 0").select("host", "th", "hashes",
+                                      (F.col("removed") * 100 > F.col("all") * depleted_percent).alias("depleted")),
+        "depleted")
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
             depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
     """One row per input row: ``id_col``, the base measures, base_failed, kept.
@@ -99,19 +116,37 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     A null or empty text has no words and fails the base rules; a null host is
     a host of its own; rows that repeat an id are judged each by its own text and
     host; an empty table gives no rows; other columns are not read."""
-    lines, above = line_verdicts(docs, id_col, text_col, host_col)
-    gone = F.col("first").isNotNull() & (F.col("first") != F.col("th"))
-    depleted = materialize(
-        lines.join(above, ["host", "h"], "left").groupBy("host", "th")
-        .agg(F.sum("w").alias("all"), F.sum(F.when(gone, F.col("w")).otherwise(0)).alias("removed"))
-        .filter(F.col("removed") * 100 > F.col("all") * depleted_percent).select("host", "th", F.lit(True).alias("depleted")),
-        "depleted")
-    measured = base_measures(_units(docs, id_col, text_col, host_col), "t")
+    texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col), depleted_percent)
+    depleted = texts.filter("depleted").select("host", "th", "depleted")
+    # written: a filter on the result must not be pushed into the measures
+    measured = materialize(base_measures(_units(docs, id_col, text_col, host_col), "t"), "measures")
     return (measured.join(depleted, ["host", "th"], "left")
             .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", (~F.col("base_failed") & F.col("depleted").isNull()).alias("kept")))
 
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+            depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
+    """The rows that ``quality`` keeps, with all their columns, their texts
+    without the lines above the limits."""
+    texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col), depleted_percent)
+    failed = materialize(base_measures(_units(docs, id_col, text_col, host_col), "t").select("host", "th", "base_failed"),
+                         "measures").filter("base_failed").distinct()
+    texts = materialize(texts.join(failed, ["host", "th"], "full").select(
+        "host", "th", "hashes", (F.coalesce("depleted", F.lit(False)) | F.coalesce("base_failed", F.lit(False))).alias("drop")),
+        "verdicts")
+    if (texts.agg(F.sum(F.greatest(F.size("hashes"), F.lit(0)) + 4)).first()[0] or 0) <= BROADCAST_IDS:
+        texts = F.broadcast(texts)
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+                       F.xxhash64(t, F.length(t)).alias("th")).join(texts, ["host", "th"], "left")
+    text = F.col(f"row.`{text_col}`")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("hashes", F.xxhash64(_normal(x))))
+    kept = F.when(F.col("hashes").isNull(), text).otherwise(F.array_join(lines, "\n"))
+    return (rows.filter("drop is null or not drop")
+            .select(*(kept.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns)))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 

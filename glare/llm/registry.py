@@ -1,6 +1,7 @@
 """Queries of the operators of this subpackage, and SQL where it can express them."""
 from __future__ import annotations
 
+import corpus_pipeline
 from glare.llm.bpe_codec import op1_bpe_codec
 from glare.llm.embeddings import op10_embeddings
 from glare.llm.minhash import op6_minhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
