@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 from glare.llm.common import SPACE, bounded, worker_store
 
@@ -37,6 +39,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: a word whose pre-tokens are plain: Latin letters (of which both tokenizers'
+#: patterns take the longest run), then at most one mark
+SIMPLE = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+
+def byte_level(letters: str, chars: dict[int, str]) -> str:
+    """The stand-ins of the bytes of letters; ASCII letters stand for themselves."""
+    if letters.isascii():
+        return letters
+    return "".join(map(chars.__getitem__, letters.encode()))
+
+
+def little_endian(ids) -> bytes:
+    out = array("I", ids)
+    if out.itemsize != 4:
+        raise RuntimeError("unsigned int is not 4 bytes")
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ForcedBoundaryBPE:
     """Byte-level BPE by forced-boundary splitting.
 
@@ -56,12 +79,9 @@ class ForcedBoundaryBPE:
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         alphabet, vocab = byte_alphabet(), self.tok.get_vocab(with_added_tokens=False)
         as_bytes = {t: bytes(alphabet[c] for c in t) for t in vocab if all(c in alphabet for c in t)}
-        inside = {p for b in as_bytes.values() for p in zip(b, b[1:])}
-        chars = {b: c for c, b in alphabet.items()}
-        first = {a: "".join(re.escape(chars[b]) for b in range(256) if (a, b) in inside) for a in range(256)}
-        #: a run whose adjacent byte pairs all occur inside some token
-        joint = "|".join(f"{re.escape(chars[a])}(?=[{f}])" for a, f in first.items() if f)
-        self.fragments = re.compile(f"(?:{joint})*.", re.S)
+        self.inside = {p for b in as_bytes.values() for p in zip(b, b[1:])}
+        self.alphabet, self.chars = alphabet, {b: c for c, b in alphabet.items()}
+        self.space = self.chars[0x20]
         self.bytes_of = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = as_bytes.get(t, t.encode())
@@ -70,17 +90,31 @@ class ForcedBoundaryBPE:
         self.word_ids: dict[str, bytes] = {}
         self.fragment_ids: dict[str, bytes] = {}
 
-    def _fragment(self, chars: str) -> bytes:
-        ids = self.fragment_ids.get(chars)
-        if ids is None:
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(chars))
-            if len(chars) <= CACHE_CHARS:
-                bounded(self.fragment_ids, self.entries)[chars] = ids
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token in stand-ins: cut at every pair of bytes that no
+        token holds, each fragment encoded by itself."""
+        known = self.fragment_ids.get(piece)
+        if known is not None:
+            return known
+        raw, at, ids = [self.alphabet[c] for c in piece], 0, []
+        cuts = [i for i, p in enumerate(zip(raw, raw[1:]), 1) if p not in self.inside]
+        for end in (*cuts, len(piece)):
+            ids += [t.id for t in self.tok.model.tokenize(piece[at:end])]
+            at = end
+        out = little_endian(ids)
+        if len(piece) <= CACHE_CHARS:
+            bounded(self.fragment_ids, self.entries)[piece] = out
+        return out
 
     def _word(self, word: str) -> bytes:
-        out = b"".join(self._fragment(f) for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)
-                       for f in self.fragments.findall(piece))
+        simple = SIMPLE.fullmatch(word)
+        if simple:
+            space, letters, mark = simple.groups()
+            out = self._piece((self.space if space else "") + byte_level(letters, self.chars))
+            if mark:
+                out += self._piece(mark)
+        else:
+            out = b"".join(self._piece(piece) for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word))
         if len(word) <= CACHE_CHARS:
             bounded(self.word_ids, self.entries)[word] = out
         return out
@@ -106,16 +140,37 @@ class ForcedBoundaryBPE:
 
 class SpacedWordBPE:
     """Encoder for tokenizers that drop white space and never join across it:
-    each run between ASCII white space is encoded once by the library."""
+    each run between ASCII white space is encoded once. Plain words go to the
+    file's model directly, all others through the whole tokenizer (normaliser,
+    pre-tokenizer, added tokens)."""
 
     words = re.compile("[^ \t\n\r]+")
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.tok, self.entries, self.word_ids = load_tokenizer(path), entries, {}
+        self.tok, self.entries = load_tokenizer(path), entries
+        self.chars = {b: c for c, b in byte_alphabet().items()}
+        self.word_ids: dict[str, bytes] = {}
+        self.letter_ids: dict[str, bytes] = {}
+
+    def _letters(self, letters: str) -> bytes:
+        """A run of Latin letters, which is one pre-token however it ends."""
+        ids = self.letter_ids.get(letters)
+        if ids is None:
+            piece = byte_level(letters.lower(), self.chars)
+            ids = little_endian(t.id for t in self.tok.model.tokenize(piece))
+            if len(letters) <= CACHE_CHARS:
+                bounded(self.letter_ids, self.entries)[letters] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        ids = self.tok.encode(word, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
+        simple = SIMPLE.fullmatch(word)
+        if simple:
+            _, letters, mark = simple.groups()
+            out = self._letters(letters)
+            if mark:
+                out += little_endian(t.id for t in self.tok.model.tokenize(mark))
+        else:
+            out = little_endian(self.tok.encode(word, add_special_tokens=False).ids)
         if len(word) <= CACHE_CHARS:
             bounded(self.word_ids, self.entries)[word] = out
         return out
