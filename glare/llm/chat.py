@@ -143,12 +143,13 @@ def _sql_render(how) -> str:
 
 
 #: the reader's own turns, each between its marks, must be the pieces that the grammar finds,
-#: and no text may hold a backslashed control string
+#: no role may hold its end mark, and no text a backslashed control string
 SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{CONFLICT}' UNION ALL SELECT -1, 1, 'assistant', '{CONFLICT}'),
 p AS (SELECT *, {_sql_render(lambda e: e)} AS raw, {_sql_render(_sql_escape)} AS esc,
-    regexp_matches(role || chr(10) || text, '[\\[<]\\\\+({CONTROL})') AS marked FROM c),
+    regexp_matches(role || chr(10) || text, '[\\[<]\\\\+({CONTROL})')
+      OR role NOT IN ('user', 'assistant') AND strpos(role || '{ROLE_MID}', '{ROLE_MID}') <= length(role) AS marked FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, list(raw ORDER BY turn, role, text) AS pieces, bool_or(marked) AS marked,
     string_agg(raw, '' ORDER BY turn, role, text) AS raw, string_agg(esc, '' ORDER BY turn, role, text) AS esc,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,

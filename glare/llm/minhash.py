@@ -213,11 +213,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(shingle_sets(semi(texts, ids, "id"), "id", "t"), "sets")
     links = verified(found.filter(_alike("n", "m") & (F.col("rep") != F.col("centre")))
                      .select(F.col("centre").alias("a"), F.col("rep").alias("b")), sets)
+    # an id that stands for several sets joins their classes
+    several = materialize(sig.filter("id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+                          .filter("lo <> hi").select("id"), "several")
+    if not several.isEmpty():
+        links = links.unionByName(materialize(
+            sig.join(several, "id").join(classes.select("digest", "rep"), "digest").filter("id <> rep")
+            .select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "links"))
     groups, links = _remaining_links(members, links, sets)
-    return (sig.join(classes.select("digest", "rep"), "digest", "left")
-            .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    return (sig.join(classes.select("digest", "rep"), "digest", "left").withColumn("node", F.coalesce("rep", "id"))
+            .join(groups, "node", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("component", "rep", "id").alias("component_id"))
+                    F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
 
 
