@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glare.llm.common import table
+from glare.llm.common import slices, table
 from glare.llm.tokens import ForcedBoundaryBPE, encoder
 
 
@@ -32,7 +32,7 @@ def encode_texts(df: DataFrame, text: Column, path: str, keep: list[Column]) ->
     def run(batches):
         enc = encoder(ForcedBoundaryBPE, path)
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b):
                 ids = [enc.encode(t or "") for t in part.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.binary())],
                                                  [*names, "ids"])
@@ -40,12 +40,6 @@ def encode_texts(df: DataFrame, text: Column, path: str, keep: list[Column]) ->
     return df.select(*keep, F.coalesce(text, F.lit("")).alias("__text")).mapInArrow(run, ddl)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 512):
-    """Small pieces of a batch, so that decoded texts and ids stay few."""
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
-
-
 def decode_ids(df: DataFrame, path: str, keep: list[str], out: str = "decoded") -> DataFrame:
     """``keep`` columns plus the text that ``ids`` decode to (null ids: null)."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", `{out}` string"
@@ -53,7 +47,7 @@ def decode_ids(df: DataFrame, path: str, keep: list[str], out: str = "decoded")
     def run(batches):
         enc = encoder(ForcedBoundaryBPE, path)
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b):
                 texts = [None if x is None else enc.decode(np.frombuffer(x, "<u4").tolist())
                          for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(texts, pa.string())],
@@ -71,7 +65,7 @@ def encode_decode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text
     def run(batches):
         enc = encoder(ForcedBoundaryBPE, path)
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b):
                 n, a, d = [], [], []
                 for t in part.column("__text").to_pylist():
                     ids = enc.encode(t or "")

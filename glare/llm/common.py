@@ -4,6 +4,7 @@ from __future__ import annotations
 import sys
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_store() -> dict:
-    """Per-process dictionary of a Python worker: loaded tokenizers and caches
-    outlive one task, whatever way the calling function was shipped."""
-    return sys.__dict__.setdefault("_glare_worker_store", {})
+def worker_store(owner: str) -> dict:
+    """Per-process dictionary of a Python worker: loaded models and caches
+    outlive one task, whatever way the calling function was shipped. Workers are
+    shared by all jobs of an application, so it belongs to one owner at a time:
+    the next operator does not carry the caches of the one before."""
+    store = sys.__dict__.setdefault("_glare_worker_store", {})
+    if store.get("owner") != owner:
+        store.clear()
+        store["owner"] = owner
+        pa.default_memory_pool().release_unused()
+    return store
 
 
 def bounded(cache: dict, most: int) -> dict:
@@ -48,6 +56,12 @@ def bounded(cache: dict, most: int) -> dict:
     return cache
 
 
+def slices(batch: pa.RecordBatch, most: int = 256):
+    """Small pieces of a batch, so that few of its values are Python objects at once."""
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a bare path is local."""
     if "://" not in uri and uri.startswith("file:"):

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glare.llm.common import anti, bounded, materialize, semi, table, worker_store
+from glare.llm.common import anti, bounded, materialize, semi, slices, table, worker_store
 from glare.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -16,7 +16,7 @@ SLOTS, BANDS = 128, 32
 #: similarity threshold as a fraction
 NUM, DEN = 75, 100
 #: most distinct words cached by a worker
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: residual buckets up to this many members give their pairs directly
 SMALL_BUCKET = 32
 #: star rounds over larger residual buckets before their last pairs are compared
@@ -47,7 +47,7 @@ def shingles(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    cache = bounded(worker_store().setdefault("words", _Words()), CACHE_WORDS)
+    cache = bounded(worker_store("words").setdefault("words", _Words()), CACHE_WORDS)
     w = mix(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
     n = max(1, len(w) - width + 1)
     h = np.full(n, min(len(w), width), np.uint64)
@@ -96,8 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keys; digest and keys are null for empty sets."""
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = band_keys(super_minhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets)))
@@ -115,8 +114,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, s): the sorted set of each document as bytes."""
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b):
                 sets = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "s"])
 
@@ -128,12 +126,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) whose full sets have ``DEN * intersection >= NUM * union``."""
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(b):
+                keep = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
@@ -158,7 +157,7 @@ def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for rep, comp, s in zip(*(c.to_pylist() for c in b.columns)):
+            for rep, comp, s in (r for part in slices(b) for r in zip(*(c.to_pylist() for c in part.columns))):
                 x = np.unique(np.frombuffer(s, np.uint64).astype(np.uint32)).view(np.int32)
                 n = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array(x)],

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glare.llm.bpe_codec import tokenizer_path
-from glare.llm.common import table
+from glare.llm.common import slices, table
 from glare.llm.tokens import SpacedWordBPE, encoder
 
 #: estimated cost of attending over a piece of n tokens: LINEAR * n + QUADRATIC * n * n
@@ -107,8 +107,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for b in batches:
             id_type = b.column(0).type
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b):
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     x = np.frombuffer(enc.encode(t or "") + end, "<u4")
                     ids.append(i)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glare.llm.common import table
+from glare.llm.common import slices, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
 BASE = KINDS[:4]
@@ -207,9 +207,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         seen: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for kind, _, _, _, v in candidates(t or ""):
-                    seen[kind, v] += 1
+            for part in slices(b):
+                for t in part.column(0).to_pylist():
+                    for kind, _, _, _, v in candidates(t or ""):
+                        seen[kind, v] += 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in keys], pa.string()), pa.array([list(v) for _, v in keys], pa.list_(pa.int32())),
@@ -249,8 +250,7 @@ def find_personal(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b):
                 counts, digest, every = [], [], []
                 for t in part.column(1).to_pylist():
                     base, found = spans(t or "", weights)
@@ -281,8 +281,7 @@ def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Data
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for part in slices(b):
                 texts = [None if t is None else redacted(t, spans(t, weights)[1]) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 

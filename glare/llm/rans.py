@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glare.llm.bpe_codec import tokenizer_path
-from glare.llm.common import materialize, open_fs, shared_path, table
+from glare.llm.common import materialize, open_fs, shared_path, slices, table
 from glare.llm.tokens import ForcedBoundaryBPE, encoder
 
 PROB_BITS = 20
@@ -206,8 +206,7 @@ def write_archive(df: DataFrame, path: str, out: str, id_col: str = "doc_id", te
         width = "<u2" if max(len(enc.bytes_of), end_id + 1) <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b):
                 ids = [np.concatenate([np.frombuffer(enc.encode(t), "<u4"), end]).astype(width).tobytes()
                        for t in part.column(1).to_pylist()]
                 n = part.num_rows
@@ -222,11 +221,12 @@ def write_archive(df: DataFrame, path: str, out: str, id_col: str = "doc_id", te
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for w, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.bincount(np.frombuffer(x, f"<u{w}"))
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-                total[:len(part)] += part
+            for part in slices(b):
+                # all ids of the slice at once: one width per table
+                got = np.bincount(np.frombuffer(b"".join(part.column(1).to_pylist()), f"<u{part.column(0)[0].as_py()}"))
+                if len(got) > len(total):
+                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+                total[:len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -249,7 +249,7 @@ def write_archive(df: DataFrame, path: str, out: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_pylist([{"shard": key[0], "pos": key[1], "file": name, **about}], schema)
 
         for b in batches:
-            for shard, pos, doc_id, w, x in zip(*(c.to_pylist() for c in b.columns)):
+            for shard, pos, doc_id, w, x in (r for part in slices(b) for r in zip(*(c.to_pylist() for c in part.columns))):
                 if writer is None or last != (shard, pos - 1):
                     if writer:
                         yield close()

@@ -14,13 +14,13 @@ from array import array
 from glare.llm.common import SPACE, bounded, worker_store
 
 #: most cached fragments of one worker, and the longest fragment kept
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 64
 
 
 def load_tokenizer(path: str):
     """The file's tokenizer without truncation and padding, one per worker."""
-    store = worker_store()
+    store = worker_store("tokens")
     if path not in store:
         from tokenizers import Tokenizer
 
@@ -182,7 +182,7 @@ class SpacedWordBPE:
 
 def encoder(kind: type, path: str):
     """The worker's encoder of a kind for a tokenizer file."""
-    store = worker_store()
+    store = worker_store("tokens")
     key = (kind.__name__, path)
     if key not in store:
         store[key] = kind(path)

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glare.llm.common import materialize, semi, table, worker_store
+from glare.llm.common import materialize, semi, slices, table, worker_store
 
 #: score from which a document is called toxic
 THRESHOLD = 0.7
@@ -121,7 +121,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
 
 
 def compressors(contents: tuple[bytes, bytes]):
-    store = worker_store()
+    store = worker_store("toxicity")
     key = ("toxicity", zlib.crc32(contents[0]), zlib.crc32(contents[1]))
     if key not in store:
         how = zstandard.ZstdCompressionParameters(
@@ -175,8 +175,7 @@ def _measured(docs: DataFrame, contents: tuple[bytes, bytes], keep: list[str], t
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b):
                 m = [measures(t, contents) for t in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(keep))), *(pa.array([x[i] for x in m], pa.float64()) for i in range(len(MEASURES)))],
@@ -239,8 +238,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for part in slices(b):
                 keep = []
                 for t in part.column(at).to_pylist():
                     z = w[0] + sum(a * m for a, m in zip(w[1:], measures(t, contents)))
