@@ -8,18 +8,25 @@ lexicon is not bundled, so results are not claimed to equal that package's):
 
 1. per text: whitespace tokens (surrounding punctuation stripped unless that
    leaves two characters or fewer), shouting flag, first "but", ``!``/``?``;
-2. ``posexplode`` the tokens; lexicon join on the lower-cased token
-   (broadcast when the lexicon's row count is under a checked bound,
+2. ``explode`` the tokens; lexicon join on the lower-cased token
+   (broadcast when the lexicon's bytes are under a checked bound,
    a shuffle join otherwise);
 3. neighbour rules from flags computed in-row before the explode: boosters
    within three words (damped 1, .95, .9), negations (x -0.74) when the
-   neighbour is not a lexicon word, shouting emphasis, the "but" rule
-   (x .5 before, x 1.5 after);
-4. one hash aggregate per text over the lexicon hits only: sum, positive /
-   negative mass, non-zero count (neutral = tokens - non-zero), then
-   punctuation emphasis and normalization s / sqrt(s^2 + 15).
-
-No window and no sort: the only shuffle is the per-text aggregate.
+   neighbour is not a lexicon word, two-word boosters ("kind of") among the
+   three words before, shouting emphasis, the "but" rule (x .5 before, x 1.5
+   after);
+4. hash aggregates over the lexicon hits only: sum, positive / negative mass,
+   non-zero count (neutral = tokens - non-zero), then punctuation emphasis and
+   normalization s / sqrt(s^2 + 15).
+
+A score belongs to the text, not to a row's key: hits are gathered by the
+text's digest, copies of a text are scored once, rows that share a key keep
+their own scores, and texts without a hit score 0 (null texts null).
+
+Rules of the published set that are left out: the fixed idioms ("bad ass" and
+the like), "least", "never so", "without doubt", emoji and negated boosters; a
+two-word booster counts whatever word stands before it.
 """
 from __future__ import annotations
 
@@ -51,7 +58,10 @@ BOOSTERS_DOWN = ("barely", "hardly", "kind of", "less", "little", "marginally",
 NEGATIONS = ("not", "no", "never", "nor", "none", "nothing", "nobody", "neither", "nowhere",
              "cannot", "without", "rarely", "seldom", "despite")
 
-LEXICON_BROADCAST_ROWS = 2_000_000
+#: largest lexicon that is broadcast, and most lexicon words with "n't" in them
+LEXICON_BROADCAST_BYTES = 64 << 20
+MOST_NT_WORDS = 1000
+SENTIMENT = ("vader_pos", "vader_neg", "vader_compound", "emotional_intensity")
 
 PUNCT = "".join("\\" + c for c in string.punctuation)
 
@@ -65,29 +75,30 @@ def _tokens(text_col: str):
     return F.transform(split_words(text_col), clean)
 
 
-def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame,
-                     token: str = "token", valence: str = "valence",
-                     boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN,
-                     negations=NEGATIONS) -> DataFrame:
-    """Return ``key, vader_pos, vader_neg, vader_compound, emotional_intensity``
-    for every text of ``df`` that has a lexicon word (others score 0).
+def sentiment_by_text(df: DataFrame, text: str, lexicon: DataFrame, token: str = "token",
+                      valence: str = "valence", boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN,
+                      negations=NEGATIONS) -> DataFrame:
+    """``__key`` (md5 of the text) and the four scores, one row for every
+    distinct text of ``df`` with a lexicon word.
 
     Neighbour rules need to know whether a booster or negation word is itself
-    a lexicon word; that set is bounded by the booster/negation lists, so it
-    is collected and the neighbour flags are computed in-row before the
-    explode. Only lexicon hits survive the (broadcast) join, so the per-text
-    aggregate reads a fraction of the tokens and no sort is needed.
+    a lexicon word; that set is bounded (the lists, and MOST_NT_WORDS), so it is
+    collected and the neighbour flags are computed in-row before the explode.
     """
     lex = lexicon.select(F.lower(F.col(token)).alias("__lt"), F.col(valence).cast("double").alias("__v")) \
         .groupBy("__lt").agg(F.avg("__v").alias("__v"))
     bup, bdown, neg = list(boosters_up), list(boosters_down), list(negations)
+    one_up, one_down = [b for b in bup if " " not in b], [b for b in bdown if " " not in b]
+    pairs = {b: BOOST for b in bup if " " in b} | {b: -BOOST for b in bdown if " " in b}
     special = [r["__lt"] for r in lex.where(F.col("__lt").isin(bup + bdown + neg) | F.col("__lt").contains("n't"))
-               .select("__lt").collect()]          # at most len(boosters) + len(negations) + n't words
-    n_lex = lex.count()
-    if n_lex <= LEXICON_BROADCAST_ROWS:
+               .select("__lt").limit(len(bup + bdown + neg) + MOST_NT_WORDS + 1).collect()]
+    if len(special) > len(bup + bdown + neg) + MOST_NT_WORDS:
+        raise ValueError(f"the lexicon has more than {MOST_NT_WORDS} words with n't")
+    size = lex.agg(F.sum(F.length("__lt") * 4 + 48)).first()[0] or 0
+    if size <= LEXICON_BROADCAST_BYTES:
         lex = F.broadcast(lex)
 
-    t = df.select(F.col(key).alias("__id"), F.col(text).alias("__x")).where(F.col("__x").isNotNull())
+    t = df.select(F.md5(F.col(text).cast("binary")).alias("__id"), F.col(text).alias("__x")).where(F.col("__x").isNotNull())
     t = t.withColumn("__w", _tokens("__x"))
     t = t.withColumn("__lw", F.transform("__w", lambda w: F.lower(w)))
     n_up = F.size(F.filter(F.col("__w"), lambda w: is_upper(w)))
@@ -101,7 +112,7 @@ def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame,
         """Flags of the word k places before position i (0-based)."""
         j = i - k + 1                                # 1-based index of the neighbour
         lo = F.when(j >= 1, F.element_at(lw, F.greatest(j, F.lit(1))))
-        boost = F.when(lo.isin(bup), F.lit(BOOST)).when(lo.isin(bdown), F.lit(-BOOST))
+        boost = F.when(lo.isin(one_up), F.lit(BOOST)).when(lo.isin(one_down), F.lit(-BOOST))
         return {
             f"b{k}": F.when(~lo.isin(special) if special else F.lit(True), boost),
             f"u{k}": is_upper(F.element_at(w, F.greatest(j, F.lit(1)))),
@@ -112,13 +123,19 @@ def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame,
         fields = {"tok": x, "i": i}
         for k in (1, 2, 3):
             fields.update(nb(F.col("__w"), F.col("__lw"), i, k))
+        idiom = F.lit(0.0)
+        for j in (1, 2):  # words i-1-j and i-j
+            two = F.array_join(F.slice("__lw", F.greatest(i - j, F.lit(1)), F.lit(2)), " ")
+            for b, v in pairs.items():
+                idiom = idiom + F.when((i > j) & (two == b), F.lit(v)).otherwise(F.lit(0.0))
+        fields["idiom"] = idiom
         return F.struct(*[v.alias(n) for n, v in fields.items()])
 
     rows = t.select("__id", "__nt", "__capdiff", "__but", "__ex", "__qm",
                     F.explode(F.transform("__w", entry)).alias("__e")).select("*", "__e.*").drop("__e")
     rows = rows.withColumns({"__lt": F.lower("tok"), "__up": is_upper(F.col("tok"))})
     rows = rows.join(lex, "__lt", "inner")       # only lexicon words carry valence
-    rows = rows.where(~(F.col("__lt").isin(bup) | F.col("__lt").isin(bdown)))   # boosters score 0
+    rows = rows.where(~F.col("__lt").isin(one_up + one_down))   # boosters score 0
 
     # each rule step is its own projection, so the expression stays linear
     v0 = F.col("__v")
@@ -136,12 +153,14 @@ def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame,
         rows = rows.withColumn("__val", F.col("__val") + F.col("__scal"))
         rows = rows.withColumn("__val", F.when(F.coalesce(F.col(f"n{k}"), F.lit(False)),
                                                F.col("__val") * NEGATION_SCALAR).otherwise(F.col("__val")))
+    rows = rows.withColumn("__val", F.col("__val") + F.col("idiom"))
     pos1 = F.col("i") + 1
     but = F.col("__but")
     val = F.col("__val")
     rows = rows.withColumn("__s", F.when((but > 0) & (pos1 < but), val * BUT_BEFORE)
                            .when((but > 0) & (pos1 > but), val * BUT_AFTER).otherwise(val))
-    agg = rows.groupBy("__id").agg(
+    hits = rows.groupBy("__id", "i").agg(*[F.first(c).alias(c) for c in ("__s", "__nt", "__ex", "__qm")])
+    agg = hits.groupBy("__id").agg(
         F.sum("__s").alias("sum_s"),
         F.sum(F.when(F.col("__s") > 0, F.col("__s") + 1)).alias("pos_sum"),
         F.sum(F.when(F.col("__s") < 0, F.col("__s") - 1)).alias("neg_sum"),
@@ -161,8 +180,16 @@ def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame,
         "ns2": F.when(ps < F.abs(ns), ns - punct).otherwise(ns),
         "vader_compound": F.when(sum_s != 0, compound).otherwise(0.0)})
     tot = F.col("ps2") + F.abs(F.col("ns2")) + F.col("neu")
-    out = agg.select(F.col("__id").alias(key),
+    out = agg.select(F.col("__id").alias("__key"),
                      F.when(tot > 0, F.abs(F.col("ps2") / tot)).otherwise(0.0).alias("vader_pos"),
                      F.when(tot > 0, F.abs(F.col("ns2") / tot)).otherwise(0.0).alias("vader_neg"),
                      "vader_compound")
     return out.withColumn("emotional_intensity", F.abs("vader_compound"))
+
+
+def with_sentiment(df: DataFrame, text: str, lexicon: DataFrame, **rules) -> DataFrame:
+    """``df`` with the four scores of each row's own text: 0 without a lexicon
+    word, null for a null text. Rows are neither merged nor multiplied."""
+    scores = sentiment_by_text(df, text, lexicon, **rules)
+    j = df.withColumn("__key", F.md5(F.col(text).cast("binary"))).join(scores, "__key", "left").drop("__key")
+    return j.select(*df.columns, *[F.when(F.col(text).isNotNull(), F.coalesce(c, F.lit(0.0))).alias(c) for c in SENTIMENT])

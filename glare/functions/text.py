@@ -106,26 +106,24 @@ def lexical_feature_columns(text: str, tok: str, ltok: str,
 
 def with_style_features(df: DataFrame, text: str = "title",
                         lex: Lexicons = DEFAULT_LEXICONS,
-                        sentiment: DataFrame | None = None,
-                        sentiment_key: str | None = None,
+                        valences: DataFrame | None = None,
                         keep: list[str] | None = None) -> DataFrame:
     """append the 13 style features to ``df``.
 
     Tokens are materialized once in their own projection so the regex is not
-    re-run per feature. Sentiment columns come from ``sentiment`` (a table
-    keyed by ``sentiment_key`` built by :mod:`glare.functions.sentiment`); when
-    absent they are 0.0, as before a lexicon is supplied.
+    re-run per feature. Sentiment columns come from the lexicon table
+    ``valences`` (:mod:`glare.functions.sentiment`); when absent they are 0.0,
+    as before a lexicon is supplied. A null text has null features.
     """
+    from .sentiment import with_sentiment
     keep = list(df.columns) if keep is None else keep
     staged = df.select(*keep, F.col(text).alias("__t"))
     staged = staged.withColumn("__tok", tokens("__t"))
     staged = staged.withColumn("__ltok", lower_tokens("__tok"))
     feats = lexical_feature_columns("__t", "__tok", "__ltok", lex)
-    out = staged.select(*keep, *[v.alias(k) for k, v in feats.items()])
-    if sentiment is not None and sentiment_key is not None:
-        out = out.join(sentiment, sentiment_key, "left")
-        for c in SENTIMENT_FEATURES:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
+    out = staged.select(*keep, *[v.alias(k) for k, v in feats.items()], "__t")
+    if valences is not None:
+        out = with_sentiment(out, "__t", valences)
     else:
-        out = out.withColumns({c: F.lit(0.0) for c in SENTIMENT_FEATURES})
+        out = out.withColumns({c: F.when(F.col("__t").isNotNull(), F.lit(0.0)) for c in SENTIMENT_FEATURES})
     return out.select(*keep, *ALL_FEATURES)

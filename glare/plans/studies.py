@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import rewrite as R
-from ..functions.sentiment import sentiment_scores
-from ..functions.text import ALL_FEATURES, LEXICAL_FEATURES, STYLE_FEATURES, with_style_features
+from ..functions.sentiment import SENTIMENT, with_sentiment
+from ..functions.text import ALL_FEATURES, LEXICAL_FEATURES, SENTIMENT_FEATURES, STYLE_FEATURES, with_style_features
 from ..operators import order_stats, prep, scale
 from ..operators.gram import gram_long
 from ..sources import standins
@@ -39,11 +39,10 @@ def corpus(spark: SparkSession, base: str) -> DataFrame:
     return prep.dedup_keep_first(h, "title", "ord")
 
 
-def featurize(spark: SparkSession, df: DataFrame, key: str, text: str,
-              lex=standins.CORPUS_LEXICONS) -> DataFrame:
+def featurize(spark: SparkSession, df: DataFrame, text: str, lex=standins.CORPUS_LEXICONS,
+              valences=standins.CORPUS_SENTIMENT) -> DataFrame:
     """F15 with N1: the 13 style features, sentiment from the lexicon job."""
-    sent = sentiment_scores(df, key, text, standins.sentiment_lexicon(spark))
-    return with_style_features(df, text, lex, sentiment=sent, sentiment_key=key)
+    return with_style_features(df, text, lex, valences=standins.sentiment_lexicon(spark, valences))
 
 
 def feature_table(spark: SparkSession, base: str, lex=standins.CORPUS_LEXICONS) -> DataFrame:
@@ -51,7 +50,7 @@ def feature_table(spark: SparkSession, base: str, lex=standins.CORPUS_LEXICONS)
     once per application: every model stage reads it several times."""
     def build():
         c = corpus(spark, base).select("doc_id", "title", "source", "fake", "n_tweets", "domain")
-        return cut_lineage(featurize(spark, c, "doc_id", "title", lex))
+        return cut_lineage(featurize(spark, c, "title", lex))
     return memo(spark, ("feature_table", base, lex), build)
 
 
@@ -64,7 +63,7 @@ def title_features(spark: SparkSession, base: str) -> DataFrame:
 def corpus_features(spark: SparkSession, base: str) -> DataFrame:
     f = feature_table(spark, base)
     return f.select("doc_id", "title", "source", "fake", "n_tweets", "domain",
-                    *LEXICAL_FEATURES, "title_len_words")
+                    *LEXICAL_FEATURES, *[_r(c).alias(c) for c in SENTIMENT_FEATURES], "title_len_words")
 
 
 def feature_describe(spark: SparkSession, base: str) -> DataFrame:
@@ -144,7 +143,7 @@ def causal_design(spark: SparkSession, base: str, max_tests: int | None = None,
                   lex=standins.ARMS_LEXICONS):
     """C5, F15, W1, W5 (sample sd, 0 -> 1), C6: the within-test design."""
     a = clean_arms(spark, base, max_tests).withColumn("y", N.empirical_logit("clicks", "impressions"))
-    f = with_style_features(a, "headline", lex)
+    f = featurize(spark, a, "headline", lex, standins.ARMS_SENTIMENT)
     c = scale.center_within(f, "test_id", ["y", *CAUSAL_FEATURES])
     z, _ = scale.standardize(c, CAUSAL_FEATURES, ddof=1, zero_policy="replace", center=False)
     z = scale.precision_weight(z, "impressions", "w")
@@ -153,7 +152,7 @@ def causal_design(spark: SparkSession, base: str, max_tests: int | None = None,
 
 def within_test_centering(spark: SparkSession, base: str) -> DataFrame:
     z = causal_design(spark, base)
-    keep = ["sensational_ratio", "urgency_ratio", "caps_ratio", "exclamations", "questions", "title_len_words"]
+    keep = CAUSAL_FEATURES
     return z.select("arm_id", "test_id", _r("y").alias("y"), _r("w").alias("w"), *[_r(c).alias(c) for c in keep])
 
 
@@ -163,9 +162,10 @@ def weighted_gram(spark: SparkSession, base: str) -> DataFrame:
     return g.select("row_name", "col_name", _r("value").alias("value"))
 
 
-def ab_effects(spark: SparkSession, base: str, max_tests: int | None = 8000) -> DataFrame:
+def ab_effects(spark: SparkSession, base: str, max_tests: int | None = None) -> DataFrame:
     """Q4 / M9: within-test weighted regression, no intercept,
-    beta ~ N(0, .5), sigma ~ HalfNormal(1), noise sd sigma / w."""
+    beta ~ N(0, .5), sigma ~ HalfNormal(1), noise sd sigma / w. All qualifying
+    tests enter; ``max_tests`` is the study's optional seeded sample (O5)."""
     z = causal_design(spark, base, max_tests)
     post = bayes.bayes_linear(z, CAUSAL_FEATURES, "y", [0.5] * len(CAUSAL_FEATURES), 1.0, w2="w2",
                               model="within_test", seed=SEED)
@@ -211,7 +211,7 @@ def _pooled_design(ranked: DataFrame) -> DataFrame:
     return ranked.withColumns({
         "one": F.lit(1.0),
         "a": F.col("attention_score") - F.lit(st["attention_score"][0]),
-        "gossip": N.indicator("source", standins.SOURCE_GROUPS[1]),
+        "source_ind": N.indicator("source", standins.SOURCE_GROUPS[1]),
         "tlen": (F.col("title_len_words") - F.lit(st["title_len_words"][0])) / F.lit(st["title_len_words"][1] or 1.0),
     })
 
@@ -220,8 +220,8 @@ def pooled_linear(spark: SparkSession, base: str) -> DataFrame:
     """M5: log-engagement ~ attention + source + length."""
     ranked, _ = attention_holdout(spark, base)
     d = _pooled_design(ranked)
-    post = bayes.bayes_linear(d, ["one", "a", "gossip", "tlen"], "log_engagement", [5, 2, 2, 2], 2.0,
-                              names=["alpha", "b_attention", "b_gossipcop", "b_title_len"], model="pooled_linear")
+    post = bayes.bayes_linear(d, ["one", "a", "source_ind", "tlen"], "log_engagement", [5, 2, 2, 2], 2.0,
+                              names=["alpha", "b_attention", "b_source", "b_title_len"], model="pooled_linear")
     return bayes.summary_frame(spark, post)
 
 
@@ -229,8 +229,8 @@ def pooled_logit(spark: SparkSession, base: str) -> DataFrame:
     """M6: fake ~ attention + source + length (logistic, Laplace)."""
     ranked, _ = attention_holdout(spark, base)
     d = _pooled_design(ranked)
-    post = bayes.bayes_logistic(d, ["one", "a", "gossip", "tlen"], "fake", [2.5, 2, 2, 2],
-                                names=["alpha", "b_attention", "b_gossipcop", "b_title_len"], model="pooled_logit")
+    post = bayes.bayes_logistic(d, ["one", "a", "source_ind", "tlen"], "fake", [2.5, 2, 2, 2],
+                                names=["alpha", "b_attention", "b_source", "b_title_len"], model="pooled_logit")
     return bayes.summary_frame(spark, post)
 
 
@@ -245,9 +245,9 @@ def style_logit(spark: SparkSession, base: str, drop_constant: bool = True) -> D
     if len(feats) < len(SCORE_FEATURES) and not drop_constant:
         raise ValueError("constant style feature: " + ", ".join(sorted(set(SCORE_FEATURES) - set(feats))))
     z, _ = scale.standardize(d, feats, ddof=1, zero_policy="none", stats=st, suffix="_z")
-    xs = ["one", *[f + "_z" for f in feats], "gossip", "tlen"]
+    xs = ["one", *[f + "_z" for f in feats], "source_ind", "tlen"]
     post = bayes.bayes_logistic(z, xs, "fake", [2.5] + [1.0] * len(feats) + [2.0, 1.0],
-                                names=["alpha", *[f"beta[{f}]" for f in feats], "b_gossipcop", "b_title_len"],
+                                names=["alpha", *[f"beta[{f}]" for f in feats], "b_source", "b_title_len"],
                                 model="style_logit")
     return bayes.summary_frame(spark, post)
 
@@ -282,30 +282,32 @@ def rhat_table(spark: SparkSession, base: str) -> DataFrame:
 
 # ------------------------------------------------------------ rewrites
 def tone_down(spark: SparkSession, base: str) -> DataFrame:
-    h = standins.headlines(spark, base).select("doc_id", "title")
-    return h.select("doc_id", R.tone_down("title", standins.CORPUS_LEXICONS).alias("down"))
+    """T1 over every non-blank line of every document."""
+    h = standins.lines(spark, base)
+    return h.select("doc_id", "line", R.tone_down("title", standins.CORPUS_LEXICONS).alias("down"))
 
 
 def tone_up(spark: SparkSession, base: str) -> DataFrame:
-    h = standins.headlines(spark, base).select("doc_id", "title")
-    return R.with_tone_up(h, "title", "up").select("doc_id", "up")
+    """T5 over every non-blank line of every document."""
+    return R.with_tone_up(standins.lines(spark, base), "title", "up").select("doc_id", "line", "up")
 
 
 # ------------------------------------------------------------------ Q5
-def pair_table(spark: SparkSession, base: str, n: int = 200):
-    """Q5: neutral real titles from the held-out split, seeded rule
-    sensationalizer, both scored against the split-B reference (M4), paired
+def pair_table(spark: SparkSession, base: str, n: int | None = None):
+    """Q5: all neutral real titles of the held-out split (``n``: a seeded
+    sample of them, O4), seeded rule sensationalizer, both scored against the split-B reference (M4), paired
     gap and style-discriminator gap (M11)."""
     ranked, model = attention_holdout(spark, base)
     neutral = ranked.where(F.col("fake") == 0).select("doc_id", F.col("title").alias("neutral"))
-    neutral = prep.sample_rows(neutral, n, SEED, "doc_id")
+    if n is not None:
+        neutral = prep.sample_rows(neutral, n, SEED, "doc_id")
     pairs = R.with_tone_up_seeded(neutral, "neutral", "sensational",
                                   prep.seeded_uniform(SEED, "doc_id", F.lit("word")),
                                   prep.seeded_uniform(SEED, "doc_id", F.lit("prefix")))
     long = pairs.select("doc_id", R.variants("neutral", "neutral", "sensational").alias("v")) \
         .select("doc_id", "v.version", "v.text").where(F.col("version") != "down") \
         .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
-    f = featurize(spark, long, "__vid", "text")
+    f = featurize(spark, long, "text")
     ref = ranked.select("raw_score")
     scored = linear.score_against_reference(f, model, ref, "raw_score", "score")
     z, _ = scale.standardize(scored, PAIR_STYLE_UP, ddof=1, zero_policy="epsilon", suffix="_z")
@@ -351,7 +353,7 @@ def score_versions(spark: SparkSession, texts: DataFrame, model, reference: Data
     long = h.select("doc_id", R.variants("original", "down", "up").alias("v"), "original", "down") \
         .select("doc_id", "v.version", "v.text", (F.col("down") == F.col("original")).alias("down_unchanged")) \
         .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
-    f = featurize(spark, long, "__vid", "text")
+    f = featurize(spark, long, "text")
     s = linear.score_against_reference(f, model, reference, "raw_score", "score")
     c = F.col("score") - F.lit(band["mean_score"])
     mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
@@ -369,8 +371,8 @@ def scoring_artifacts(spark: SparkSession, base: str):
     def build():
         ranked, model = attention_holdout(spark, base)
         d = _pooled_design(ranked)
-        post = bayes.bayes_logistic(d, ["one", "a", "gossip", "tlen"], "fake", [2.5, 2, 2, 2],
-                                    names=["alpha", "b_attention", "b_gossipcop", "b_title_len"],
+        post = bayes.bayes_logistic(d, ["one", "a", "source_ind", "tlen"], "fake", [2.5, 2, 2, 2],
+                                    names=["alpha", "b_attention", "b_source", "b_title_len"],
                                     model="pooled_logit")
         band = {"mean_score": float(ranked.agg(F.avg("attention_score")).first()[0]),
                 "ma": float(post.mean[0]), "mb": float(post.mean[1]), "va": float(post.cov[0, 0]),
@@ -405,8 +407,6 @@ def percentile_vs_reference(spark: SparkSession, base: str) -> DataFrame:
 
 
 def lexicon_sentiment(spark: SparkSession, base: str) -> DataFrame:
-    """N1 over every headline with the test lexicon."""
-    h = standins.headlines(spark, base).select("doc_id", "title")
-    s = sentiment_scores(h, "doc_id", "title", standins.sentiment_lexicon(spark))
-    return s.select("doc_id", *[_r(c).alias(c) for c in ("vader_pos", "vader_neg", "vader_compound",
-                                                         "emotional_intensity")])
+    """N1 over every non-blank line of every document with the test lexicon."""
+    s = with_sentiment(standins.lines(spark, base), "title", standins.sentiment_lexicon(spark))
+    return s.select("doc_id", "line", *[_r(c).alias(c) for c in SENTIMENT])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import Lexicons
-from ..functions.text import first_line, item_count, url_host
+from ..functions.text import LINE_BREAK, first_line, item_count, strip, url_host
 from .files import read_table, spread
 
 SOURCE_GROUPS = ("g0", "g1")
@@ -36,7 +36,7 @@ CORPUS_LEXICONS = Lexicons(
 ARMS_LEXICONS = Lexicons(
     sensational=("hot", "red"),
     urgency=("old", "small"),
-    second_person=("blue",),
+    second_person=("blue", "your"),
     replacements=(("hot", "warm"),),
 )
 
@@ -47,8 +47,22 @@ CORPUS_SENTIMENT = (
 )
 
 
-def sentiment_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CORPUS_SENTIMENT), "token string, valence double")
+# The same for the arms' headlines.
+ARMS_SENTIMENT = (
+    ("small", -0.8), ("hot", 1.4), ("old", -1.5), ("new", 1.6), ("red", 0.7), ("promo", 1.1),
+)
+
+
+def sentiment_lexicon(spark: SparkSession, words=CORPUS_SENTIMENT) -> DataFrame:
+    return spark.createDataFrame(list(words), "token string, valence double")
+
+
+def lines(spark: SparkSession, base: str) -> DataFrame:
+    """doc_id, line (0-based), title: every non-blank line of every document,
+    stripped; the headline rules apply to each."""
+    docs = spread(read_table(spark, base, "documents").select("doc_id", "text"), "doc_id")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", LINE_BREAK)).alias("line", "title"))
+    return rows.withColumn("title", strip("title")).where(F.col("title") != "")
 
 
 def headlines(spark: SparkSession, base: str, labelled: bool = False,
@@ -94,17 +108,20 @@ def arms(spark: SparkSession, base: str) -> DataFrame:
         .groupBy("l_partkey").agg(
             F.count(F.lit(1)).alias("impressions"),
             F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("long").alias("clicks"))
+    # headlines vary in every style feature: mark, number, opener, shouting
     suffix = F.when(F.col("p_size") % 4 == 0, "!").when(F.col("p_size") % 4 == 1, "?").otherwise("")
+    opener = F.when(F.col("p_size") % 7 == 1, "Why ").when(F.col("p_size") % 7 == 2, "Your ").otherwise("")
+    name = F.when(F.col("p_size") % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    kind = F.when(F.col("p_size") % 2 == 0, F.initcap("p_type")).otherwise(F.col("p_type"))
+    number = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise("")
     df = part.join(li, part.p_partkey == li.l_partkey, "left")
     return df.select(
         F.floor(F.col("p_partkey") / 3).cast("long").alias("test_id"),
         F.col("p_partkey").alias("arm_id"),
-        F.concat_ws(" ", "p_type", "p_name").alias("__h"),
-        suffix.alias("__s"),
+        F.concat(opener, kind, F.lit(" "), name, number, suffix).alias("headline"),
         F.coalesce("impressions", F.lit(0)).cast("long").alias("impressions"),
         F.coalesce("clicks", F.lit(0)).cast("long").alias("clicks"),
-    ).withColumn("headline", F.concat("__h", "__s")).drop("__h", "__s") \
-        .select("test_id", "arm_id", "headline", "impressions", "clicks")
+    )
 
 
 def draws(spark: SparkSession, base: str, chains: int = 4) -> DataFrame:

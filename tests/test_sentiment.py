@@ -1,71 +1,77 @@
-"""The sentiment job against a plain restatement of the published rules."""
+"""The sentiment job against values worked out by hand from the published rules."""
 import math
-import string
 
 import pytest
 
 from glare.functions import sentiment as SN
+from glare.functions.text import with_style_features
 
-LEX = {"good": 1.9, "bad": -2.5, "great": 3.1, "awful": -2.0, "very": 0.5}
+LEX = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("awful", -2.0), ("very", 0.5)]
 
 
-def restated(t):
-    words = []
-    for w in t.split():
-        s = w.strip(string.punctuation)
-        words.append(w if len(s) <= 2 else s)
-    low = [x.lower() for x in words]
-    ups = sum(1 for x in words if x.isupper())
-    capdiff = 0 < ups < len(words)
-    sents = []
-    for i, x in enumerate(words):
-        lx = low[i]
-        if lx in SN.BOOSTERS_UP or lx in SN.BOOSTERS_DOWN or lx not in LEX:
-            sents.append(0.0)
-            continue
-        v = LEX[lx]
-        if x.isupper() and capdiff:
-            v += SN.CAPS_BOOST if v > 0 else -SN.CAPS_BOOST
-        for k, damp in zip((1, 2, 3), SN.DAMPING):
-            if i - k >= 0 and low[i - k] not in LEX:
-                p = low[i - k]
-                sc = SN.BOOST if p in SN.BOOSTERS_UP else (-SN.BOOST if p in SN.BOOSTERS_DOWN else 0.0)
-                if sc:
-                    if words[i - k].isupper() and capdiff:
-                        sc += SN.CAPS_BOOST if sc > 0 else -SN.CAPS_BOOST
-                    sc *= (-1 if v < 0 else 1) * damp
-                v += sc
-                if p in SN.NEGATIONS or "n't" in p:
-                    v *= SN.NEGATION_SCALAR
-        sents.append(v)
-    if "but" in low:
-        bi = low.index("but")
-        sents = [s * SN.BUT_BEFORE if j < bi else (s * SN.BUT_AFTER if j > bi else s) for j, s in enumerate(sents)]
-    total = sum(sents)
-    ex, qm = min(t.count("!"), 4), t.count("?")
-    punct = ex * SN.EXCLAMATION_STEP + (SN.QUESTION_MANY if qm > 3 else (qm * SN.QUESTION_STEP if qm > 1 else 0))
-    ts = total + punct if total > 0 else (total - punct if total < 0 else total)
-    comp = max(-1, min(1, ts / math.sqrt(ts * ts + 15))) if total != 0 else 0.0
-    ps = sum(s + 1 for s in sents if s > 0)
-    ns = sum(s - 1 for s in sents if s < 0)
-    neu = sum(1 for s in sents if s == 0)
-    if ps > abs(ns):
-        ps += punct
-    elif ps < abs(ns):
-        ns -= punct
-    tot = ps + abs(ns) + neu
-    return (abs(ps / tot) if tot else 0.0, abs(ns / tot) if tot else 0.0, comp)
+def norm(s):
+    return s / math.sqrt(s * s + 15)
 
 
-TEXTS = ["This is good", "NOT good at all!!", "very good but bad", "GOOD news, very BAD day?",
-         "nothing great, hardly awful", "I don't think it's good", "so very great!!!!!", "bad bad but good good",
-         "plain words only", "Good? Bad?? awful???", "it isn't very good", "extremely BAD", "never so good",
-         "very not good", "so not bad", "Great but AWFUL and very very bad"]
+# text, sum of valences with punctuation, positive share, negative share
+GOLDEN = [
+    ("This is good", 1.9, 2.9 / 4.9, 0.0),
+    # 1.9 * -0.74 = -1.406, two marks 0.584 on the negative side; shouted NOT, but no other emphasis on good
+    ("not good at all!!", -1.406 - 0.584, 0.0, (2.406 + 0.584) / (2.406 + 0.584 + 3)),
+    # very is in the lexicon, so it does not boost; before "but" half, after it one and a half
+    ("very good but bad", 1.9 * 0.5 - 2.5 * 1.5, 1.95 / (1.95 + 4.75 + 2), 4.75 / (1.95 + 4.75 + 2)),
+    # a shouted word among others: 1.9 + 0.733
+    ("GOOD news", 2.633, 3.633 / 4.633, 0.0),
+    # all shouted: no emphasis
+    ("GOOD NEWS", 1.9, 2.9 / 3.9, 0.0),
+    # boosters: one word before 0.293, two words before 0.293 * 0.95, three 0.293 * 0.9
+    ("really good", 1.9 + 0.293, 3.193 / 4.193, 0.0),
+    ("really x good", 1.9 + 0.293 * 0.95, (2.9 + 0.27835) / (4.9 + 0.27835), 0.0),
+    ("really x y good", 1.9 + 0.293 * 0.9, (2.9 + 0.2637) / (5.9 + 0.2637), 0.0),
+    ("slightly bad", -2.5 + 0.293, 0.0, 3.207 / 4.207),
+    # two-word boosters
+    ("a kind of good day", 1.9 - 0.293, 2.607 / 6.607, 0.0),
+    # one question mark counts nothing, two 0.36, four 0.96
+    ("good?", 1.9, 1.0, 0.0),
+    ("good??", 2.26, 1.0, 0.0),
+    ("good????", 2.86, 1.0, 0.0),
+    # at most four exclamation marks: 1.168
+    ("great!!!!!!", 3.1 + 1.168, 1.0, 0.0),
+    # negation within three words, also n't
+    ("I don't think great", 3.1 * -0.74, 0.0, (1 + 2.294) / (4 + 2.294)),
+    ("never a b c good", 1.9, 2.9 / 6.9, 0.0),
+    # equal masses: the marks change neither side, the sum is zero
+    ("plain words only", 0.0, 0.0, 0.0),
+    ("", 0.0, 0.0, 0.0),
+]
 
 
-def test_rules(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string")
-    lex = spark.createDataFrame(list(LEX.items()), "token string, valence double")
-    got = {r.id: (r.vader_pos, r.vader_neg, r.vader_compound) for r in SN.sentiment_scores(df, "id", "t", lex).collect()}
-    for i, t in enumerate(TEXTS):
-        assert got.get(i, (0.0, 0.0, 0.0)) == pytest.approx(restated(t), abs=1e-12), t
+@pytest.fixture
+def lexicon(spark):
+    return spark.createDataFrame(LEX, "token string, valence double")
+
+
+def test_rules(spark, lexicon):
+    df = spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDEN)], "id long, t string")
+    got = {r.id: r for r in SN.with_sentiment(df, "t", lexicon).collect()}
+    assert len(got) == len(GOLDEN)
+    for i, (t, total, pos, neg) in enumerate(GOLDEN):
+        assert got[i].vader_compound == pytest.approx(norm(total), abs=1e-12), t
+        assert (got[i].vader_pos, got[i].vader_neg) == pytest.approx((pos, neg), abs=1e-12), t
+        assert got[i].emotional_intensity == pytest.approx(abs(norm(total)), abs=1e-12)
+
+
+def test_rows_keep_their_own_scores(spark, lexicon):
+    """Repeated ids are not merged, copies count once, a null text is null."""
+    df = spark.createDataFrame([(1, "good"), (1, "nothing at all"), (2, "good"), (2, "good"), (3, None)], "id long, t string")
+    out = [(r.id, r.t, r.vader_pos) for r in SN.with_sentiment(df, "t", lexicon).collect()]
+    assert sorted(out, key=str) == sorted([(1, "good", 1.0), (1, "nothing at all", 0.0), (2, "good", 1.0), (2, "good", 1.0),
+                                           (3, None, None)], key=str)
+    f = {r.t: r for r in with_style_features(df, "t", valences=lexicon).collect()}
+    assert f[None].vader_neg is None and f["good"].emotional_intensity > 0
+
+
+def test_unbounded_exceptions_raise(spark):
+    many = spark.createDataFrame([(f"w{i}n't", 1.0) for i in range(SN.MOST_NT_WORDS + 60)], "token string, valence double")
+    with pytest.raises(ValueError):
+        SN.with_sentiment(spark.createDataFrame([("a",)], "t string"), "t", many)
