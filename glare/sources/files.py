@@ -35,26 +35,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              keep_literal: Iterable[str] = ()) -> DataFrame:
     """Header CSV with quoted fields and embedded newlines.
 
-    ``escape='"'`` makes doubled quotes work (Spark's default escape is a
-    backslash). ``multiLine`` files are not splittable, so convert a large
-    corpus to parquet once and scan that. ``null_words`` become null in every
-    string column except those named in ``keep_literal``.
+    Columns go by the header's names: the file is read as strings, a ``schema``
+    then checks that its columns are there (S8), selects them and casts them, so
+    reordered or extra columns do no harm. A value that does not fit its type
+    becomes null. ``escape='"'`` makes doubled quotes work (Spark's default
+    escape is a backslash). ``multiLine`` files are not splittable, so convert a
+    large corpus to parquet once and scan that. ``null_words`` become null as
+    they stand, without trimming, in every column except ``keep_literal``.
     """
-    r = spark.read.option("header", True).option("multiLine", True) \
-        .option("escape", '"').option("mode", "PERMISSIVE")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    df = r.csv(path)
-    if null_words:
-        keep = set(keep_literal)
-        words = list(null_words)
-        cols = []
-        for f in df.schema.fields:
-            c = F.col(f.name)
-            if isinstance(f.dataType, T.StringType) and f.name not in keep:
-                c = F.when(F.trim(c).isin(words) | c.isNull(), F.lit(None)).otherwise(c).alias(f.name)
-            cols.append(c)
-        df = df.select(*cols)
-    return df
+    df = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False) \
+        .option("quote", '"').option("escape", '"').option("nullValue", "").option("mode", "PERMISSIVE").csv(path)
+    if schema is not None:
+        df = require_columns(df, schema.names, path)
+    keep, words = set(keep_literal), list(null_words or ())
+
+    def value(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(~c.isin(words), c) if words and name not in keep else c
+
+    if schema is None:
+        return df.select(*[value(n).alias(n) for n in df.columns])
+    return df.select(*[value(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def require_columns(df: DataFrame, need: Iterable[str], what: str = "input") -> DataFrame:
@@ -75,7 +76,7 @@ def read_labelled_corpus(spark: SparkSession, data_dir: str, sources: Sequence[s
     frames = []
     for si, source in enumerate(sources):
         for li, (name, value) in enumerate(labels):
-            df = read_csv(spark, f"{data_dir}/{source}_{name}.csv", schema, keep_literal=("title",))
+            df = read_csv(spark, f"{data_dir}/{source}_{name}.csv", schema)
             df = df.withColumn("__row", F.monotonically_increasing_id())
             frames.append(df.withColumns({
                 "source": F.lit(source), "fake": F.lit(value).cast("int"),
