@@ -8,5 +8,5 @@ import sys as _sys
 try:
     from pyspark import cloudpickle as _cp
     _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
+except ImportError:  # pragma: no cover - older cloudpickle
     pass

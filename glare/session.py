@@ -80,9 +80,3 @@ def memo(spark: SparkSession, key, build):
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) for a table read by several actions."""
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
