@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 
 class Gram:
-    def __init__(self, names: Sequence[str], m: np.ndarray):
+    def __init__(self, names: Sequence[str], m: np.ndarray, rows: float | None = None):
         self.names = list(names)          # ["1", x..., y]
         self.m = m
+        self.rows = float(m[0, 0]) if rows is None else float(rows)   # unweighted count of the rows summed
 
     @property
     def n(self) -> float:
@@ -72,13 +73,15 @@ def gram_long(df: DataFrame, xcols: Sequence[str], y: str, w: str | None = None)
 def _partial_gram(q: int):
     def run(batches):
         import pandas as pd
-        acc = np.zeros((q, q))
+        acc, rows = np.zeros((q, q)), 0
         for b in batches:
             z = b[[f"__z{i}" for i in range(q)]].to_numpy(dtype=float)
             w = b["__w"].to_numpy(dtype=float)
             acc += (z * w[:, None]).T @ z
+            rows += len(b)
         ii, jj = np.triu_indices(q)
-        yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "v": acc[ii, jj]})
+        yield pd.DataFrame({"i": np.append(ii, -1).astype("int32"), "j": np.append(jj, -1).astype("int32"),
+                            "v": np.append(acc[ii, jj], float(rows))})
     return run
 
 
@@ -90,11 +93,12 @@ def gram(df: DataFrame, xcols: Sequence[str], y: str, w: str | None = None,
     d = _design(df.na.drop(subset=[*xcols, y] + ([w] if w else [])), xcols, y, w)
     if method == "auto":
         method = "sql" if len(xcols) <= 5 else "arrow"
-    m = np.zeros((q, q))
+    m, rows = np.zeros((q, q)), 0.0
     if method == "sql":
         aggs = [F.sum(F.col("__w") * F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"g_{i}_{j}")
                 for i in range(q) for j in range(i, q)]
-        row = d.agg(*aggs).first()
+        row = d.agg(*aggs, F.count(F.lit(1)).alias("n_rows")).first()
+        rows = row["n_rows"]
         for i in range(q):
             for j in range(i, q):
                 m[i, j] = m[j, i] = row[f"g_{i}_{j}"] or 0.0
@@ -102,5 +106,8 @@ def gram(df: DataFrame, xcols: Sequence[str], y: str, w: str | None = None,
         parts = d.mapInPandas(_partial_gram(q), "i int, j int, v double") \
             .groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
         for r in parts:
-            m[r.i, r.j] = m[r.j, r.i] = r.v
-    return Gram(names, m)
+            if r.i < 0:
+                rows = r.v
+            else:
+                m[r.i, r.j] = m[r.j, r.i] = r.v
+    return Gram(names, m, rows)

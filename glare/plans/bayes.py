@@ -53,6 +53,10 @@ def hdi_np(x: np.ndarray, mass: float) -> tuple[float, float]:
     return float(x[i]), float(x[i + k])
 
 
+#: most posterior mass that the edge points of a sigma grid may hold
+EDGE_MASS = 1e-9
+
+
 def _logdet(a: np.ndarray) -> np.ndarray:
     return np.linalg.slogdet(a)[1]
 
@@ -60,34 +64,37 @@ def _logdet(a: np.ndarray) -> np.ndarray:
 def conjugate_sigma_grid(G: np.ndarray, v: np.ndarray, s: float, n: float,
                          prior_prec: np.ndarray, sigma_scale: float,
                          points: int = 201) -> dict:
-    """Posterior over a sigma grid for the conjugate linear model.
+    """Posterior over a grid of log sigma for the conjugate linear model.
 
     Returns grid, normalized weights, per-point means and covariances.
     The grid is centred on the residual sd of the ridge-regularized fit and
-    spans +-7 standard errors of sigma (at least 1e-12 of mass at the edges
-    for the sizes tested), clipped to stay positive.
+    first spans +-7 standard errors of log sigma; it is widened until its two
+    edge points hold less than EDGE_MASS, and raises if that never happens.
     """
     p = len(v)
     b0 = np.linalg.solve(G + prior_prec * max(1e-12, 1.0), v)
     rss = max(s - 2 * b0 @ v + b0 @ G @ b0, 1e-12)
     shat = np.sqrt(rss / max(n, 1.0))
-    half = min(0.95, 7.0 / np.sqrt(2.0 * max(n, 1.0)))
-    grid = shat * (1.0 + np.linspace(-half, half, points))
-    logdetP = _logdet(prior_prec)
-    lw = np.empty(points)
-    mus = np.empty((points, p))
-    covs = np.empty((points, p, p))
-    for k, sg in enumerate(grid):
-        Q = G / sg ** 2 + prior_prec
-        r = v / sg ** 2
-        cov = np.linalg.inv(Q)
-        mu = cov @ r
-        lw[k] = (-n * np.log(sg) - s / (2 * sg ** 2) + 0.5 * logdetP - 0.5 * _logdet(Q)
-                 + 0.5 * r @ mu - sg ** 2 / (2 * sigma_scale ** 2))
-        mus[k], covs[k] = mu, cov
-    w = np.exp(lw - lw.max())
-    w /= w.sum()
-    return {"grid": grid, "w": w, "mu": mus, "cov": covs}
+    half, logdetP = 7.0 / np.sqrt(2.0 * max(n, 1.0)), _logdet(prior_prec)
+    for _ in range(12):
+        grid = shat * np.exp(np.linspace(-half, half, points))
+        lw = np.empty(points)
+        mus = np.empty((points, p))
+        covs = np.empty((points, p, p))
+        for k, sg in enumerate(grid):
+            Q = G / sg ** 2 + prior_prec
+            r = v / sg ** 2
+            cov = np.linalg.inv(Q)
+            mu = cov @ r
+            lw[k] = (-n * np.log(sg) - s / (2 * sg ** 2) + 0.5 * logdetP - 0.5 * _logdet(Q)
+                     + 0.5 * r @ mu - sg ** 2 / (2 * sigma_scale ** 2) + np.log(sg))
+            mus[k], covs[k] = mu, cov
+        w = np.exp(lw - lw.max())
+        w /= w.sum()
+        if w[0] + w[-1] < EDGE_MASS:
+            return {"grid": grid, "w": w, "mu": mus, "cov": covs}
+        half *= 1.5
+    raise ValueError("the posterior of sigma does not fit on its grid")
 
 
 def _mixture_moments(w, mus, covs, sig):
@@ -123,8 +130,7 @@ def bayes_linear(df: DataFrame, xcols: Sequence[str], y: str, prior_sd: Sequence
     independent Normal(0, prior_sd) coefficients, HalfNormal(sigma_scale) sigma.
     Include a constant column in ``xcols`` for a free intercept."""
     g = gram(df, list(xcols), y, w2, method=gram_method)
-    G, v, s, n = g.xtx(), g.xty(), g.yty(), float(g.m[0, 0])
-    nobs = n if w2 is None else float(df.where(F.col(y).isNotNull()).count())
+    G, v, s, nobs = g.xtx(), g.xty(), g.yty(), g.rows
     P = np.diag(1.0 / np.asarray(prior_sd, float) ** 2)
     res = conjugate_sigma_grid(G, v, s, nobs, P, sigma_scale)
     mean, cov = _mixture_moments(res["w"], res["mu"], res["cov"], res["grid"])
@@ -135,6 +141,9 @@ def bayes_linear(df: DataFrame, xcols: Sequence[str], y: str, prior_sd: Sequence
 
 
 # ------------------------------------------------------------- logistic
+MAX_STEP = 8.0
+
+
 def _logit_step_sql(d: DataFrame, q: int, beta: np.ndarray):
     eta = sum(F.lit(float(beta[i])) * F.col(f"__x{i}") for i in range(q))
     p = 1.0 / (1.0 + F.exp(-eta))
@@ -205,9 +214,12 @@ def bayes_logistic(df: DataFrame, xcols: Sequence[str], y: str, prior_sd: Sequen
             g = g - P @ beta
             H = H + P
             delta = np.linalg.solve(H, g)
-            beta = beta + delta
+            # a step is at most MAX_STEP long in any coefficient
+            beta = beta + delta * min(1.0, MAX_STEP / max(np.max(np.abs(delta)), 1e-300))
             if np.max(np.abs(delta)) < tol:
                 break
+        else:
+            raise ValueError(f"Newton's method has not converged in {max_iter} steps")
     finally:
         d.unpersist()
     # curvature from the last step: the mode moved by < tol since it was taken

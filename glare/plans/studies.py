@@ -144,7 +144,10 @@ def causal_design(spark: SparkSession, base: str, max_tests: int | None = None,
     """C5, F15, W1, W5 (sample sd, 0 -> 1), C6: the within-test design."""
     a = clean_arms(spark, base, max_tests).withColumn("y", N.empirical_logit("clicks", "impressions"))
     f = featurize(spark, a, "headline", lex, standins.ARMS_SENTIMENT)
-    c = scale.center_within(f, "test_id", ["y", *CAUSAL_FEATURES])
+    c = scale.center_within(f.select("arm_id", "test_id", "impressions", "y", *CAUSAL_FEATURES), "test_id",
+                            ["y", *CAUSAL_FEATURES])
+    # narrow, and read by several aggregates (sds, mean weight, Gram)
+    c = cut_lineage(c)
     z, _ = scale.standardize(c, CAUSAL_FEATURES, ddof=1, zero_policy="replace", center=False)
     z = scale.precision_weight(z, "impressions", "w")
     return z.withColumn("w2", F.col("w") * F.col("w"))
