@@ -121,7 +121,8 @@ def _tiles(rows: DataFrame, tile: int) -> DataFrame:
         for d in list(held):
             yield flush(d)
 
-    even = rows.repartition(max(1, -(-rows.count() // tile)), "row").select("node", "v", "row")
+    # as many partitions as full tiles: every further tile meets all others
+    even = rows.repartition(max(1, -(-rows.count() // tile))).select("node", "v", "row")
     tiles = materialize(even.mapInArrow(unit, "d int, tile long, rows binary, nodes binary, x binary"), "tiles")
     by = Window.partitionBy("d")
     places = tiles.select("d", "tile").select("tile", F.row_number().over(by.orderBy("tile")).alias("k"),
