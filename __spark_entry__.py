@@ -59,6 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "percentile_vs_reference": S.percentile_vs_reference,
         "posterior_hdi": S.posterior_hdi,
         "rhat_table": S.rhat_table,
+        "posterior_summary": S.posterior_summary,
+        "coefficient_report": S.coefficient_report,
+        "corpus_report": S.corpus_report,
         "tone_down": S.tone_down,
         "tone_up": S.tone_up,
         "ab_effects": S.ab_effects,
@@ -305,6 +308,8 @@ SELECT feature, count(value) AS count, round(avg(value), 9) AS mean, round(stdde
   round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.75), 9) AS q75,
   round(max(value), 9) AS max
 FROM long GROUP BY feature""",
+        "corpus_report": f"""WITH {CORPUS}
+SELECT count(*) AS n_rows, round(avg(CASE WHEN fake = 1 THEN 1.0 ELSE 0.0 END), 9) AS share_fake FROM c0""",
         "domain_counts": """SELECT domain, count(*) AS n_pages FROM (
   SELECT split_part(regexp_replace(regexp_replace(coalesce(url, ''), '^https?://', ''), '^www\\.', ''), '/', 1)
     AS domain FROM pages) GROUP BY domain""",

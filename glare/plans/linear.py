@@ -86,6 +86,12 @@ def score_against_reference(df: DataFrame, model: RidgeModel, reference: DataFra
     return order_stats.share_below(scored, "__raw", reference, ref_col, out).drop("__raw")
 
 
+def ranked_coefficients(spark: SparkSession, model: RidgeModel, k: int | None = None) -> DataFrame:
+    """O1 + O2: coefficients in descending size, the ``k`` largest where asked for."""
+    out = model.coefficients(spark).where(F.col("feature") != "(intercept)").orderBy(F.abs("coef").desc(), "feature")
+    return out if k is None else out.limit(k)
+
+
 def save_bundle(model: RidgeModel, reference: DataFrame, path: str, ref_col: str = "raw_score") -> None:
     """Coefficient table + reference raw scores, both parquet."""
     spark = reference.sparkSession

@@ -66,16 +66,68 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], chain: str = "chain", draw
         F.count(F.lit(1)).alias("h"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     agg = per.groupBy(*keys).agg(F.min("h").alias("h"), F.var_samp("m").alias("bh"),
                                  F.avg("v").alias("w"))
-    return agg.select(*keys, F.sqrt(((F.col("h") - 1) / F.col("h") * F.col("w") + F.col("bh")) / F.col("w"))
-                      .alias("r_hat"))
+    # a constant parameter has no R-hat
+    r = F.sqrt(((F.col("h") - 1) / F.col("h") * F.col("w") + F.col("bh")) / F.col("w"))
+    return agg.select(*keys, F.when(F.col("w") > 0, r).alias("r_hat"))
+
+
+def effective_size(x) -> float:
+    """Effective sample size of sequences x (sequences, draws): Geyer's initial
+    monotone sequence over the combined autocorrelations (Vehtari et al., 2021)."""
+    import numpy as np
+    m, n = x.shape
+    if n < 4 or not np.isfinite(x).all():
+        return float("nan")
+    c = x - x.mean(axis=1, keepdims=True)
+    f = np.fft.rfft(c, 2 * n, axis=1)
+    acov = (np.fft.irfft(f * np.conj(f), 2 * n, axis=1)[:, :n] / n).mean(axis=0)
+    within = acov[0] * n / (n - 1)
+    total = acov[0] + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+    if total <= 0:
+        return float("nan")
+    rho = 1 - (within - acov) / total
+    rho[0] = 1.0
+    pairs = rho[:n - n % 2].reshape(-1, 2).sum(axis=1)      # neighbours in pairs
+    stop = np.flatnonzero(pairs <= 0)
+    pairs = np.minimum.accumulate(pairs[:stop[0]] if len(stop) else pairs)
+    tau = max(2 * pairs.sum() - 1, 1 / np.log10(m * n))
+    return float(m * n / tau)
+
+
+def ess_table(draws: DataFrame, keys: Sequence[str], chain: str = "chain", draw: str = "draw",
+              value: str = "value") -> DataFrame:
+    """Bulk effective sample size (split chains, rank-normalized) and the
+    Monte Carlo standard error of the mean, per key. A group is all draws of one
+    parameter, so its size is the sampler's setting, not the data's; chains of
+    unequal length are cut to the shortest, null values leave both null."""
+    keys = list(keys)
+    kinds = ", ".join(f"`{k}` {draws.schema[k].dataType.simpleString()}" for k in keys)
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+        parts = [g.sort_values(draw)[value].to_numpy(dtype=float) for _, g in pdf.groupby(chain)]
+        n = min(map(len, parts))
+        half = n // 2
+        x = np.array([h for p in parts for h in (p[:half], p[n - half:n])])
+        out = {k: [pdf[k].iloc[0]] for k in keys}
+        if half < 4 or not np.isfinite(x).all():
+            return pd.DataFrame(out | {"ess_bulk": [None], "mcse": [None]}).astype({"ess_bulk": float, "mcse": float})
+        ranks = pd.Series(x.ravel()).rank().to_numpy()
+        z = np.array([NormalDist().inv_cdf((r - 0.375) / (x.size + 0.25)) for r in ranks]).reshape(x.shape)
+        return pd.DataFrame(out | {"ess_bulk": [effective_size(z)],
+                                   "mcse": [float(np.std(np.concatenate(parts), ddof=1) / np.sqrt(effective_size(x)))]})
+
+    return draws.select(*keys, chain, draw, value).groupBy(*keys).applyInPandas(one, kinds + ", ess_bulk double, mcse double")
 
 
 def summarize(draws: DataFrame, keys: Sequence[str] = ("model", "param"), mass: float = 0.94,
               rows_per_range: int = order_stats.ROWS_PER_RANGE) -> DataFrame:
-    """Mean, sd, HDI and split R-hat per parameter."""
+    """Mean, sd, HDI, split R-hat, bulk ESS and MCSE per parameter."""
     keys = list(keys)
     return moments(draws, keys).join(hdi_table(draws, keys, mass=mass, rows_per_range=rows_per_range), keys) \
-        .join(split_rhat(draws, keys, rows_per_range=rows_per_range), keys, "left")
+        .join(split_rhat(draws, keys, rows_per_range=rows_per_range), keys, "left") \
+        .join(ess_table(draws, keys), keys, "left")
 
 
 def gap_posterior(df: DataFrame, gap: str, mass: float = 0.89) -> DataFrame:

@@ -209,6 +209,17 @@ def attention_score(spark: SparkSession, base: str) -> DataFrame:
     return ranked.select("doc_id", _r("raw_score").alias("raw_score"), _r("attention_score").alias("attention_score"))
 
 
+def coefficient_report(spark: SparkSession, base: str, k: int | None = None) -> DataFrame:
+    """O1, O2: the attention model's coefficients by size (the ``k`` largest)."""
+    _, model = attention_holdout(spark, base)
+    return linear.ranked_coefficients(spark, model, k).select("feature", _r("coef").alias("coef"))
+
+
+def corpus_report(spark: SparkSession, base: str) -> DataFrame:
+    """Q1's closing line: rows after deduplication and the share labelled fake."""
+    return feature_table(spark, base).agg(F.count(F.lit(1)).alias("n_rows"), _r(N.share(F.col("fake") == 1)).alias("share_fake"))
+
+
 def _pooled_design(ranked: DataFrame) -> DataFrame:
     st = scale.column_stats(ranked, ["attention_score", "title_len_words"], ddof=1)
     return ranked.withColumns({
@@ -283,6 +294,12 @@ def rhat_table(spark: SparkSession, base: str) -> DataFrame:
     return r.select("param", _r("r_hat").alias("r_hat"))
 
 
+def posterior_summary(spark: SparkSession, base: str) -> DataFrame:
+    """M13 over a draws table: moments, HDI, R-hat, bulk ESS and MCSE."""
+    s = posterior.summarize(standins.draws(spark, base), ["param"])
+    return s.select("param", "n", *[_r(c).alias(c) for c in ("mean", "sd", "hdi_lo", "hdi_hi", "r_hat", "ess_bulk", "mcse")])
+
+
 # ------------------------------------------------------------ rewrites
 def tone_down(spark: SparkSession, base: str) -> DataFrame:
     """T1 over every non-blank line of every document."""
