@@ -11,7 +11,7 @@ import re
 import sys
 from array import array
 
-from glare.llm.common import SPACE, bounded, worker_store
+from glare.llm.common import SPACE, worker_store
 
 #: most cached fragments of one worker, and the longest fragment kept
 CACHE_ENTRIES = 250_000
@@ -79,9 +79,10 @@ class ForcedBoundaryBPE:
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         alphabet, vocab = byte_alphabet(), self.tok.get_vocab(with_added_tokens=False)
         as_bytes = {t: bytes(alphabet[c] for c in t) for t in vocab if all(c in alphabet for c in t)}
-        self.inside = {p for b in as_bytes.values() for p in zip(b, b[1:])}
+        #: adjacent stand-ins of bytes that lie inside some token
+        self.inside = {p for t in as_bytes for p in zip(t, t[1:])}
         self.alphabet, self.chars = alphabet, {b: c for c, b in alphabet.items()}
-        self.space = self.chars[0x20]
+        self.space, self.tokenize = self.chars[0x20], self.tok.model.tokenize
         self.bytes_of = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = as_bytes.get(t, t.encode())
@@ -96,14 +97,16 @@ class ForcedBoundaryBPE:
         known = self.fragment_ids.get(piece)
         if known is not None:
             return known
-        raw, at, ids = [self.alphabet[c] for c in piece], 0, []
-        cuts = [i for i, p in enumerate(zip(raw, raw[1:]), 1) if p not in self.inside]
-        for end in (*cuts, len(piece)):
-            ids += [t.id for t in self.tok.model.tokenize(piece[at:end])]
-            at = end
+        if self.inside.issuperset(zip(piece, piece[1:])):
+            ids = [t.id for t in self.tokenize(piece)]
+        else:
+            cuts = [i for i, p in enumerate(zip(piece, piece[1:]), 1) if p not in self.inside]
+            ids = [t.id for a, b in zip([0, *cuts], [*cuts, len(piece)]) for t in self.tokenize(piece[a:b])]
         out = little_endian(ids)
         if len(piece) <= CACHE_CHARS:
-            bounded(self.fragment_ids, self.entries)[piece] = out
+            if len(self.fragment_ids) >= self.entries:
+                self.fragment_ids.clear()
+            self.fragment_ids[piece] = out
         return out
 
     def _word(self, word: str) -> bytes:
@@ -116,7 +119,9 @@ class ForcedBoundaryBPE:
         else:
             out = b"".join(self._piece(piece) for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word))
         if len(word) <= CACHE_CHARS:
-            bounded(self.word_ids, self.entries)[word] = out
+            if len(self.word_ids) >= self.entries:
+                self.word_ids.clear()
+            self.word_ids[word] = out
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -159,7 +164,9 @@ class SpacedWordBPE:
             piece = byte_level(letters.lower(), self.chars)
             ids = little_endian(t.id for t in self.tok.model.tokenize(piece))
             if len(letters) <= CACHE_CHARS:
-                bounded(self.letter_ids, self.entries)[letters] = ids
+                if len(self.letter_ids) >= self.entries:
+                    self.letter_ids.clear()
+                self.letter_ids[letters] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -172,7 +179,9 @@ class SpacedWordBPE:
         else:
             out = little_endian(self.tok.encode(word, add_special_tokens=False).ids)
         if len(word) <= CACHE_CHARS:
-            bounded(self.word_ids, self.entries)[word] = out
+            if len(self.word_ids) >= self.entries:
+                self.word_ids.clear()
+            self.word_ids[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
