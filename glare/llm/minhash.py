@@ -22,7 +22,7 @@ SMALL_BUCKET = 32
 #: star rounds over larger residual buckets before their last pairs are compared
 STAR_ROUNDS = 3
 #: 64-bit words of the sketch that bounds what two sets share
-SKETCH_WORDS = 32
+SKETCH_WORDS = 64
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -146,16 +146,18 @@ def _alike(n: str, m: str):
 
 
 def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, c, lost, s0...): of each set, how many shingles occur in sets of
-    other components among ``members``, a bitmap of those shingles, and how many
-    of them share a bit or a 32-bit hash with another one.
+    """(rep, c, lost, s0...): of each set, how many shingles may occur in sets of
+    other components among ``members``, a bitmap of all its shingles, and how
+    many of them share a bit with another one.
 
     No pair across components can share more than the lesser c of the two, nor
-    more than the common bits plus the lesser ``lost``: what is counted twice is
-    given back, so both bounds hold for the full sets."""
+    more than the common bits plus the lesser ``lost``. Shingles that occur in one
+    component only are counted by 32-bit hashes: too few may be found, so c may be
+    too high, never too low."""
     ids = materialize(members.select("rep", "comp", "n").distinct(), "residual-ids")
+    own = ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "comp", "s")
 
-    def run(batches):
+    def explode(batches):
         for b in batches:
             for rep, comp, s in (r for part in slices(b) for r in zip(*(c.to_pylist() for c in part.columns))):
                 x = np.unique(np.frombuffer(s, np.uint64).astype(np.uint32)).view(np.int32)
@@ -163,20 +165,26 @@ def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array(x)],
                                                  ["rep", "comp", "x"])
 
-    rows = materialize(ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "comp", "s")
-                       .mapInArrow(run, "rep long, comp long, x int"), "residual-shingles")
-    common = materialize(rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                         .filter("lo <> hi").select("x"), "common-shingles")
-    word = F.pmod(F.shiftright("x", 6), F.lit(SKETCH_WORDS))
-    bit = F.expr("shiftleft(1L, x & 63)")
-    bits = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"s{i}") for i in range(SKETCH_WORDS)]
-    own = rows.groupBy("rep").agg(F.count("*").alias("values"))
-    found = rows.join(common, "x").groupBy("rep").agg(F.count("*").alias("shared"), *bits)
-    merged = F.col("n") - F.col("values")
-    set_bits = sum(F.bit_count(f"s{i}") for i in range(SKETCH_WORDS))
-    return (ids.join(own, "rep").join(found, "rep")
-            .select("rep", (F.col("shared") + merged).alias("c"), (F.col("shared") - set_bits + merged).alias("lost"),
-                    *(f"s{i}" for i in range(SKETCH_WORDS))))
+    def sketch(batches):
+        names = ["rep", "lost", *(f"s{i}" for i in range(SKETCH_WORDS))]
+        for b in batches:
+            for part in slices(b):
+                bits = np.zeros((part.num_rows, SKETCH_WORDS * 64), np.uint8)
+                lost = np.zeros(part.num_rows, np.int64)
+                for k, s in enumerate(part.column(2).to_pylist()):
+                    x = np.frombuffer(s, np.uint64) >> np.uint64(40)
+                    bits[k, (x % np.uint64(bits.shape[1])).astype(np.int64)] = 1
+                    lost[k] = len(x) - bits[k].sum()
+                words = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lost), *map(pa.array, words.T)], names)
+
+    rows = materialize(own.mapInArrow(explode, "rep long, comp long, x int"), "residual-shingles")
+    alone = materialize(rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                        .filter("lo = hi").select("x"), "lone-shingles")
+    counted = rows.join(alone, "x").groupBy("rep").agg(F.count("*").alias("alone"))
+    drawn = own.mapInArrow(sketch, "rep long, lost long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)))
+    return (ids.join(counted, "rep", "left").join(drawn, "rep")
+            .withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("comp", "n", "alone"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
