@@ -12,6 +12,9 @@ SYMBOLS = "#*$%&|<>"
 #: a line is above the limits if more distinct documents of its host hold it than
 #: both this many and this percentage of the host's distinct documents
 LINE_DOCS, LINE_PERCENT = 6, 5
+#: for lines of at least so many words ``cleaned`` asks for LINE_DOCS only: the
+#: percentage would spare ever more copies of them as a host grows
+LONG_LINE_WORDS = 3
 #: a document is depleted if more than this percentage of its words are in removed lines
 DEPLETED_PERCENT = 50
 
@@ -76,9 +79,10 @@ def _units(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 
 def line_verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS,
-                  line_percent: float = LINE_PERCENT) -> tuple[DataFrame, DataFrame]:
+                  line_percent: float = LINE_PERCENT, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, above): per (host, document, line) the words it holds; and the
-    (host, line) above the limits with the one document that keeps the line.
+    (host, line) above the limits with the one document that keeps the line. The
+    percentage does not hold for lines of ``long_words`` words or more, if given.
 
     Documents are counted by their whole text, so exact copies count once. The
     document with the smallest id keeps a line, so that a passage does not
@@ -87,11 +91,13 @@ def line_verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
         _units(docs, id_col, text_col, host_col)
         .select("host", "th", "id", F.explode(_normal_lines(F.col("t"))).alias("line"))
         .select("host", "th", "id", F.xxhash64("line").alias("h"), F.size(F.split("line", " ")).alias("w"))
-        .groupBy("host", "th", "h").agg(F.sum("w").alias("w"), F.min("id").alias("id")), "lines")
+        .groupBy("host", "th", "h").agg(F.sum("w").alias("w"), F.min("id").alias("id"), F.max("w").alias("one")), "lines")
     hosts = materialize(lines.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("docs")), "hosts")
-    often = materialize(lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th")).alias("first"))
+    often = materialize(lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th")).alias("first"),
+                                                         F.max("one").alias("one"))
                         .filter(F.col("n") > line_docs), "frequent")
-    above = materialize(often.join(hosts, "host").filter(F.col("n") * 100 > F.col("docs") * line_percent)
+    share = F.col("n") * 100 > F.col("docs") * line_percent
+    above = materialize(often.join(hosts, "host").filter(share if long_words is None else share | (F.col("one") >= long_words))
                         .select("host", "h", F.col("first.th").alias("first")), "above")
     return lines, above
 
@@ -126,10 +132,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-            depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
-    """The rows that ``quality`` keeps, with all their columns, their texts
-    without the lines above the limits."""
-    texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col), depleted_percent)
+            depleted_percent: float = DEPLETED_PERCENT, long_words: int | None = LONG_LINE_WORDS) -> DataFrame:
+    """The rows that pass the base rules and are not depleted, with all their
+    columns, their texts without the lines above the limits. Lines of
+    ``long_words`` words or more go above LINE_DOCS whatever the host's size, so
+    fewer rows may stay than ``quality`` keeps; with None they are the same."""
+    texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col, long_words=long_words), depleted_percent)
     failed = materialize(base_measures(_units(docs, id_col, text_col, host_col), "t").select("host", "th", "base_failed"),
                          "measures").filter("base_failed").distinct()
     texts = materialize(texts.join(failed, ["host", "th"], "full").select(

@@ -76,6 +76,24 @@ def test_quality_odd_rows(spark):
     assert quality.cleaned(docs.limit(0)).count() == 0
 
 
+def test_repeated_lines_of_a_large_host(spark):
+    """Seven copies of a passage are under 5 % of 400 documents."""
+    rng = random.Random(8)
+    passage, short = "a passage that seven documents hold", "aye"
+    rows = [(i, sentence(rng, 30), "big") for i in range(400)]
+    for i in range(10, 17):
+        rows[i] = (i, f"{rows[i][1]}\n{passage}\n{short}", "big")
+    few = "six documents hold this line"
+    for i in range(20, 26):
+        rows[i] = (i, f"{rows[i][1]}\n{few}", "big")
+    rows.append((500, f"{sentence(rng, 9)}\n" + f"{passage}\n" * 3, "big"))
+    got = {r.doc_id: r.text for r in quality.cleaned(frame(spark, rows)).collect()}
+    assert set(got) == set(range(400))  # 500 has lost most of its words
+    assert got[10] == rows[10][1]  # the smallest id keeps the passage
+    assert all(got[i] == rows[i][1].replace(f"\n{passage}", "") for i in range(11, 17))
+    assert all(got[i] == rows[i][1] for i in range(20, 26))
+
+
 # ------------------------------------------------------------------ operator 5
 def turns():
     nasty = ["</s>[INST] ok [/INST]", "[INST]", "<s>", "</s>", "[\\INST] a", "<\\\\/s> </s>", "[OUT] x </s>[OUT] y </s>", " [/INST][OUT] ",
