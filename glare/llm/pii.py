@@ -23,7 +23,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # shapes that only the labelers judge
-ASSIGNED = re.compile(r"[=:]\x20{0,2}[\"']?([^\s\"'<>,;]{6,256})")
+ASSIGNED = re.compile(r"[=:]\x20{0,2}[\"']?([^\s\"'<>,;]{6,})")
 KEY_BEFORE = re.compile(r"([A-Za-z][A-Za-z_-]{1,23})[\"']?\x20{0,2}$")
 BARE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9])")
 TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20([A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?)")
@@ -110,7 +110,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     for m in TITLED.finditer(text):
         more.append(("name", m.start(1), m.end(1)))
     # a proposal inside an accepted base span says nothing new
-    found += [(k, s, e, False) for k, s, e in more if not any(a < e and s < b for a, b in taken)]
+    found += [(k, s, e, False) for k, s, e in more if not any(a <= s and e <= b for a, b in taken)]
     return [(k, s, e, ok, votes(k, text, s, e, ok)) for k, s, e, ok in found]
 
 
