@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import order_stats
+from ..session import cut_lineage
+
+#: draws of a block of a chain half, and most blocks of lags that one round adds
+LAG_BLOCK, MOST_BLOCKS = 256, 16
 
 # Gauss-Hermite nodes/weights are generated (numpy) rather than listed.
 
@@ -71,6 +75,24 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], chain: str = "chain", draw
     return agg.select(*keys, F.when(F.col("w") > 0, r).alias("r_hat"))
 
 
+def _size(acov, n: int, m: int, between: float, last: bool = True) -> tuple[float, bool]:
+    """(size, settled) of ``m`` sequences with ``n`` draws in all, from the mean
+    lagged products of the centred draws and the variance between the sequences.
+    Not settled: Geyer's pairs stay positive so far and lags are left (not ``last``)."""
+    import numpy as np
+    within = acov[0] * n / (n - m)
+    total = acov[0] + between
+    if not total > 0:
+        return float("nan"), True
+    rho = 1 - (within - acov) / total
+    rho[0] = 1.0
+    pairs = rho[:len(rho) - len(rho) % 2].reshape(-1, 2).sum(axis=1)      # neighbours in pairs
+    stop = np.flatnonzero(pairs <= 0)
+    pairs = np.minimum.accumulate(pairs[:stop[0]] if len(stop) else pairs)
+    tau = max(2 * pairs.sum() - 1, 1 / np.log10(n))
+    return float(n / tau), bool(len(stop) or last)
+
+
 def effective_size(x) -> float:
     """Effective sample size of sequences x (sequences, draws): Geyer's initial
     monotone sequence over the combined autocorrelations (Vehtari et al., 2021)."""
@@ -81,44 +103,163 @@ def effective_size(x) -> float:
     c = x - x.mean(axis=1, keepdims=True)
     f = np.fft.rfft(c, 2 * n, axis=1)
     acov = (np.fft.irfft(f * np.conj(f), 2 * n, axis=1)[:, :n] / n).mean(axis=0)
-    within = acov[0] * n / (n - 1)
-    total = acov[0] + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-    if total <= 0:
-        return float("nan")
-    rho = 1 - (within - acov) / total
-    rho[0] = 1.0
-    pairs = rho[:n - n % 2].reshape(-1, 2).sum(axis=1)      # neighbours in pairs
-    stop = np.flatnonzero(pairs <= 0)
-    pairs = np.minimum.accumulate(pairs[:stop[0]] if len(stop) else pairs)
-    tau = max(2 * pairs.sum() - 1, 1 / np.log10(m * n))
-    return float(m * n / tau)
+    return _size(acov, m * n, m, x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)[0]
+
+
+def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def _slices(batches, most: int = 256):
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
+
+
+def _blocks(draws: DataFrame, keys: list[str], rows_per_range: int, block: int) -> DataFrame:
+    """(keys, __c, __h, __b, x, z): the halves of every chain in blocks of
+    ``block`` draws, in order, as they are (x) and rank-normalized per key (z).
+    The middle draw of an odd chain is in its second half."""
+    runs = order_stats.value_runs(draws, keys, "__v", rows_per_range=rows_per_range)
+    ranks = runs.select(*keys, "__v", ((F.col("start") + (F.col("cnt") + 1) / 2 - 0.375) / (F.col("n") + 0.25)).alias("__p"))
+    half = F.floor(F.col("__n") / 2)
+    at = F.col("__pos") - F.when(F.col("__h"), half).otherwise(0)
+    rows = order_stats.positions(draws, [*keys, "__c"], "__d", "__v", rows_per_range) \
+        .withColumn("__h", F.col("__pos") >= half).withColumn("__at", at).join(ranks, [*keys, "__v"]) \
+        .groupBy(*keys, "__c", "__h", F.floor(F.col("__at") / block).alias("__b")) \
+        .agg(F.sort_array(F.collect_list(F.struct("__at", "__v", "__p"))).alias("__s")) \
+        .select(*keys, "__c", "__h", "__b", F.col("__s.__v").alias("x"), F.col("__s.__p").alias("z"))
+
+    def normal(batches):
+        import pyarrow as pa
+        inv = NormalDist().inv_cdf
+        for part in _slices(batches):
+            z = pa.array([[inv(p) for p in s] for s in part.column("z").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], z], part.schema.names)
+
+    return cut_lineage(rows.mapInArrow(normal, _ddl(rows, rows.columns)[:-2]))
+
+
+def _lagged(blocks: DataFrame, keys: list[str], first: int, end: int, block: int) -> DataFrame:
+    """(keys, __lag, x, z): sums of the lagged products of centred blocks, for
+    lags from ``first * block`` to below ``end * block``: a block meets the blocks
+    that many blocks after it, and each task adds up what it has."""
+    seq = [*keys, "__c", "__h"]
+    ahead = blocks.select(*seq, F.col("__b").alias("__t"), F.col("x").alias("x1"), F.col("z").alias("z1"))
+    pairs = blocks.select(*seq, "__b", "x", "z", F.explode(F.sequence(F.lit(first), F.lit(end))).alias("__k")) \
+        .withColumn("__t", F.col("__b") + F.col("__k")).join(ahead, [*seq, "__t"]) \
+        .select(*keys, "__k", "x", "z", "x1", "z1")
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def padded(column):
+            off = column.offsets.to_numpy()
+            n = np.diff(off)
+            out = np.zeros((len(n), block))
+            out[np.arange(block) < n[:, None]] = column.values.to_numpy()[off[0]:off[-1]]
+            return out, n
+
+        def all_lags(a, b):
+            f = np.conj(np.fft.rfft(a, 2 * block, axis=1)) * np.fft.rfft(b, 2 * block, axis=1)
+            return np.fft.irfft(f, 2 * block, axis=1)
+
+        for part in _slices(batches):
+            groups: dict = {}
+            which = [groups.setdefault(t, len(groups)) for t in zip(*(part.column(k).to_pylist() for k in keys))]
+            k = part.column("__k").to_numpy()
+            b, n = padded(part.column("x1"))
+            lags = min(int((k * block + n).max()), end * block) - first * block
+            if lags <= 0:
+                continue
+            sums = np.zeros((2, len(groups), (end - first) * block))
+            for out, r in zip(sums, (all_lags(padded(part.column("x"))[0], b),
+                                     all_lags(padded(part.column("z"))[0], padded(part.column("z1"))[0]))):
+                for g, at, row in zip(which, (k - first) * block, r):
+                    if at < out.shape[1]:
+                        out[g, at:at + block] += row[:block]
+                    if at > 0:
+                        out[g, at - block + 1:at] += row[block + 1:]
+            rows = pa.array(np.repeat([which.index(g) for g in range(len(groups))], lags))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(rows) for c in keys), pa.array(np.tile(np.arange(lags, dtype=np.int64) + first * block, len(groups))),
+                 *(pa.array(s[:, :lags].ravel()) for s in sums)], [*keys, "__lag", "x", "z"])
+
+    return pairs.mapInArrow(products, _ddl(blocks, keys) + "__lag long, x double, z double") \
+        .groupBy(*keys, "__lag").agg(F.sum("x").alias("x"), F.sum("z").alias("z"))
 
 
 def ess_table(draws: DataFrame, keys: Sequence[str], chain: str = "chain", draw: str = "draw",
-              value: str = "value") -> DataFrame:
+              value: str = "value", rows_per_range: int = order_stats.ROWS_PER_RANGE,
+              block: int = LAG_BLOCK) -> DataFrame:
     """Bulk effective sample size (split chains, rank-normalized) and the
-    Monte Carlo standard error of the mean, per key. A group is all draws of one
-    parameter, so its size is the sampler's setting, not the data's; chains of
-    unequal length are cut to the shortest, null values leave both null."""
+    Monte Carlo standard error of the mean, per key, from all draws of every chain.
+
+    Sequences of unequal length weigh by their draws. Lagged products are summed
+    by Spark, a few blocks of lags at a time, for the keys whose pairs are still
+    positive; a key's sums per lag are all that meets in one place. Both are null
+    where a value is null or not finite, all are equal, or no chain has 8 draws."""
     keys = list(keys)
-    kinds = ", ".join(f"`{k}` {draws.schema[k].dataType.simpleString()}" for k in keys)
+    v = F.col("__v")
+    d = draws.select(*keys, F.col(chain).alias("__c"), F.col(draw).alias("__d"), F.col(value).cast("double").alias("__v")) \
+        .where(F.col("__c").isNotNull())
+    totals = cut_lineage(d.groupBy(*keys).agg(
+        F.stddev_samp("__v").alias("__sd"),
+        (F.min(F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & (F.min("__v") < F.max("__v"))).alias("__ok")))
+    blocks = _blocks(d.join(totals.where("__ok").select(*keys), keys, "left_semi"), keys, rows_per_range, block)
 
-    def one(pdf):
-        import numpy as np
-        import pandas as pd
-        parts = [g.sort_values(draw)[value].to_numpy(dtype=float) for _, g in pdf.groupby(chain)]
-        n = min(map(len, parts))
-        half = n // 2
-        x = np.array([h for p in parts for h in (p[:half], p[n - half:n])])
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        if half < 4 or not np.isfinite(x).all():
-            return pd.DataFrame(out | {"ess_bulk": [None], "mcse": [None]}).astype({"ess_bulk": float, "mcse": float})
-        ranks = pd.Series(x.ravel()).rank().to_numpy()
-        z = np.array([NormalDist().inv_cdf((r - 0.375) / (x.size + 0.25)) for r in ranks]).reshape(x.shape)
-        return pd.DataFrame(out | {"ess_bulk": [effective_size(z)],
-                                   "mcse": [float(np.std(np.concatenate(parts), ddof=1) / np.sqrt(effective_size(x)))]})
-
-    return draws.select(*keys, chain, draw, value).groupBy(*keys).applyInPandas(one, kinds + ", ess_bulk double, mcse double")
+    seq = [*keys, "__c", "__h"]
+    added = {c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, e: a + e)) for c in "xz"}
+    means = blocks.groupBy(*seq).agg(F.sum(F.size("x")).alias("__n"), *(s.alias(f"m{c}") for c, s in added.items())) \
+        .select(*seq, "__n", *((F.col(f"m{c}") / F.col("__n")).alias(f"m{c}") for c in "xz"))
+    means = cut_lineage(means)
+    grand = means.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__m"),
+                                     *((F.sum(F.col(f"m{c}") * F.col("__n")) / F.sum("__n")).alias(f"g{c}") for c in "xz"))
+    off = {c: F.sum(F.col("__n") * (F.col(f"m{c}") - F.col(f"g{c}")) ** 2) for c in "xz"}
+    stats = means.join(grand, keys).groupBy(*keys, "__all", "__m").agg(
+        F.max("__n").alias("__longest"), F.max(F.when(~F.col("__h"), F.col("__n"))).alias("__half"),
+        *((F.coalesce(s / (F.col("__m") - 1), F.lit(0.0)) * F.col("__m") / F.col("__all")).alias(f"b{c}") for c, s in off.items())) \
+        .where("__half >= 4").drop("__half")
+    stats = cut_lineage(stats)
+
+    def minus(mean):
+        return lambda e: e - mean
+
+    centred = cut_lineage(blocks.join(means, seq).join(stats.select(*keys), keys, "left_semi").select(
+        *seq, "__b", *(F.transform(c, minus(F.col(f"m{c}"))).alias(c) for c in "xz")))
+
+    def sizes(end):
+        def one(pdf):
+            import numpy as np
+            import pandas as pd
+            s = pdf.iloc[0]
+            lags = min(int(s["__longest"]), end * block)
+            out, more = {k: [pdf[k].iloc[0]] for k in keys}, False
+            for c in "xz":
+                acov = np.zeros(lags)
+                near = pdf[pdf["__lag"] < lags]
+                acov[near["__lag"].to_numpy()] = near[c].to_numpy() / s["__all"]
+                size, settled = _size(acov, int(s["__all"]), int(s["__m"]), float(s[f"b{c}"]), lags == s["__longest"])
+                out[f"e{c}"], more = [size], more or not settled
+            return pd.DataFrame(out | {"__more": [more]})
+        return one
+
+    known = done = None
+    left, first, end = centred, 0, 1
+    while True:
+        part = cut_lineage(_lagged(left, keys, first, end, block))
+        known = part if known is None else known.unionByName(part)
+        state = cut_lineage(known.join(stats, keys).groupBy(*keys).applyInPandas(
+            sizes(end), _ddl(draws, keys) + "ex double, ez double, __more boolean"))
+        done = state.where("not __more") if done is None else done.unionByName(state.where("not __more"))
+        more = state.where("__more").select(*keys)
+        if more.isEmpty():
+            break
+        known, left = cut_lineage(known.join(more, keys, "left_semi")), centred.join(more, keys, "left_semi")
+        first, end = end, end + min(end, MOST_BLOCKS)
+    size = {c: F.when(~F.isnan(f"e{c}"), F.col(f"e{c}")) for c in "xz"}
+    return totals.join(done, keys, "left").select(*keys, size["z"].alias("ess_bulk"), (F.col("__sd") / F.sqrt(size["x"])).alias("mcse"))
 
 
 def summarize(draws: DataFrame, keys: Sequence[str] = ("model", "param"), mass: float = 0.94,
@@ -127,7 +268,7 @@ def summarize(draws: DataFrame, keys: Sequence[str] = ("model", "param"), mass:
     keys = list(keys)
     return moments(draws, keys).join(hdi_table(draws, keys, mass=mass, rows_per_range=rows_per_range), keys) \
         .join(split_rhat(draws, keys, rows_per_range=rows_per_range), keys, "left") \
-        .join(ess_table(draws, keys), keys, "left")
+        .join(ess_table(draws, keys, rows_per_range=rows_per_range), keys, "left")
 
 
 def gap_posterior(df: DataFrame, gap: str, mass: float = 0.89) -> DataFrame:
