@@ -146,45 +146,49 @@ def _alike(n: str, m: str):
 
 
 def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, c, lost, s0...): of each set, how many shingles may occur in sets of
+    """(rep, alone, lost, s0...): of each set, how many shingles occur in no set of
     other components among ``members``, a bitmap of all its shingles, and how
-    many of them share a bit with another one.
+    many of them share a bit with another one. If an id stands for several sets:
+    the least, all bits and the most of them.
 
-    No pair across components can share more than the lesser c of the two, nor
+    With c = n - alone, no pair across components can share more than the lesser c of the two, nor
     more than the common bits plus the lesser ``lost``. Shingles that occur in one
     component only are counted by 32-bit hashes: too few may be found, so c may be
     too high, never too low."""
-    ids = materialize(members.select("rep", "comp", "n").distinct(), "residual-ids")
-    own = ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "comp", "s")
+    ids = materialize(members.select("rep", "comp").distinct(), "residual-ids")
+    own = ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "comp", "s").distinct()
 
     def explode(batches):
         for b in batches:
             for rep, comp, s in (r for part in slices(b) for r in zip(*(c.to_pylist() for c in part.columns))):
                 x = np.unique(np.frombuffer(s, np.uint64).astype(np.uint32)).view(np.int32)
-                n = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array(x)],
-                                                 ["rep", "comp", "x"])
+                n, d = len(x), xxhash.xxh3_128_digest(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array([d] * n, pa.binary()),
+                                                  pa.array(x)], ["rep", "comp", "d", "x"])
 
     def sketch(batches):
-        names = ["rep", "lost", *(f"s{i}" for i in range(SKETCH_WORDS))]
+        names = ["rep", "d", "lost", *(f"s{i}" for i in range(SKETCH_WORDS))]
         for b in batches:
             for part in slices(b):
                 bits = np.zeros((part.num_rows, SKETCH_WORDS * 64), np.uint8)
                 lost = np.zeros(part.num_rows, np.int64)
-                for k, s in enumerate(part.column(2).to_pylist()):
+                texts = part.column(2).to_pylist()
+                for k, s in enumerate(texts):
                     x = np.frombuffer(s, np.uint64) >> np.uint64(40)
                     bits[k, (x % np.uint64(bits.shape[1])).astype(np.int64)] = 1
                     lost[k] = len(x) - bits[k].sum()
                 words = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lost), *map(pa.array, words.T)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(xxhash.xxh3_128_digest, texts)), pa.binary()), pa.array(lost), *map(pa.array, words.T)], names)
 
-    rows = materialize(own.mapInArrow(explode, "rep long, comp long, x int"), "residual-shingles")
+    rows = materialize(own.mapInArrow(explode, "rep long, comp long, d binary, x int"), "residual-shingles")
     alone = materialize(rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                         .filter("lo = hi").select("x"), "lone-shingles")
-    counted = rows.join(alone, "x").groupBy("rep").agg(F.count("*").alias("alone"))
-    drawn = own.mapInArrow(sketch, "rep long, lost long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)))
-    return (ids.join(counted, "rep", "left").join(drawn, "rep")
-            .withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("comp", "n", "alone"))
+    counted = rows.join(alone, "x").groupBy("rep", "d").agg(F.count("*").alias("alone"))
+    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
+    drawn = own.mapInArrow(sketch, "rep long, d binary, lost long, " + ", ".join(f"{x} long" for x in bits))
+    return (drawn.join(counted, ["rep", "d"], "left").groupBy("rep")
+            .agg(F.min(F.coalesce("alone", F.lit(0))).alias("alone"), F.max("lost").alias("lost"),
+                 *(F.bit_or(x).alias(x) for x in bits)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,6 +276,7 @@ def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame) -> t
         if large.isEmpty():
             break
         able = materialize(large.join(materialize(_shared(large, sets), "shared"), "rep")
+                           .withColumn("c", F.col("n") - F.col("alone")).drop("alone")
                            .filter((F.col("n") + F.col("least")) * NUM <= F.col("c") * (NUM + DEN)), "able")
         centre = F.max(F.struct(F.col("c") / F.col("n"), F.col("rep"), F.col("n"), F.col("comp")))
         centres = materialize(able.groupBy("key").agg(centre.alias("x"))

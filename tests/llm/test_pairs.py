@@ -80,6 +80,24 @@ def test_near_duplicates_by_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_repeated_id_in_a_large_residual_bucket(spark):
+    """One id with two texts, of which one has only lone shingles."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    base, rows = words(100), []
+    rows += [(7, " ".join(base)), (7, " ".join(base)), (7, " ".join(words(900))), (8, " ".join(base + ["tail"]))]
+    rows += [(100 + i, " ".join(words(rng.randint(60, 140)))) for i in range(40)]
+    shingles = sorted({(i, minhash.shingles(t.encode()).tobytes()) for i, t in rows})
+    members = spark.createDataFrame([(1, i, len(s) // 8) for i, s in shingles], "key long, rep long, n long")
+    sets = spark.createDataFrame([(i, minhash.shingles(t.encode()).tobytes()) for i, t in rows], "id long, s binary")
+    groups, links = minhash._remaining_links(members, spark.createDataFrame([], "a long, b long"), sets)
+    assert {(r.a, r.b) for r in links.collect()} <= {(7, 8), (8, 7)}
+    assert {r.node: r.component for r in groups.collect()} == {7: 7, 8: 7}
+    m = members.select("rep", "n", members.rep.alias("comp"))
+    bound = {(r.rep, r.n): r.n - r.alone for r in m.join(minhash._shared(m, sets), "rep").collect()}
+    assert len(bound) == len(shingles) and bound[7, 96] == 96 and bound[8, 97] >= 96
+
+
 def test_near_duplicates_odd_tables(spark):
     empty = frame(spark, [(1, "a")]).limit(0)
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one_each(empty).count() == 0
