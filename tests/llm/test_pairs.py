@@ -1,12 +1,14 @@
 """Operators 6 and 10, union-find and the pipeline against brute force."""
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glare.llm import components, embeddings, minhash
+from glare.llm import components, embeddings, minhash, pii, quality, toxicity
 
 DOCS = "doc_id long, text string, rep long, id string, comp int, n int"
 
@@ -242,3 +244,78 @@ def test_run_is_the_stages(spark):
 
     out = corpus_pipeline.run(spark, SF_SMALL).toPandas()
     assert isinstance(out, pd.DataFrame) and out.length.gt(0).all()
+
+
+def plain_pipeline(spark, rows, sf_dir):
+    """id -> text after each stage but packing, in plain Python with the operators' own verdicts."""
+    import re
+
+    import duckdb
+
+    # quality: the SQL's verdicts; lines of three words above 6 documents go, but for the smallest id
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, *r) for i, r in rows.items()], columns=["doc_id", "text", "source"]))
+    kept = {i for i, k in con.execute(f"SELECT doc_id, kept FROM ({quality.SQL})").fetchall() if k}
+    normal = lambda x: re.sub(r"[\x20\t\x0b-\r]+", " ", x.lower()).strip(" ")
+    holders, texts = {}, {}
+    for i, (t, h) in rows.items():
+        for x in {normal(x) for x in (t or "").split("\n")} - {""}:
+            holders.setdefault((h, x), {}).setdefault(t, i)
+            holders[h, x][t] = min(i, holders[h, x][t])
+    docs = {h: len({t for t, s in rows.values() if s == h and normal((t or "").replace("\n", " "))}) for _, h in rows.values()}
+    gone = {k: min(v, key=v.get) for k, v in holders.items()
+            if len(v) > 6 and (len(k[1].split(" ")) >= 3 or len(v) * 100 > docs[k[0]] * 5)}
+    for i in kept:
+        t, h = rows[i]
+        lines = t.split("\n")
+        stay = [x for x in lines if gone.get((h, normal(x)), t) == t]
+        n = sum(len(normal(x).split(" ")) for x in lines if normal(x))
+        if 200 * sum(len(normal(x).split(" ")) for x in stay if normal(x)) >= 100 * n:
+            texts[i] = "\n".join(stay)
+    yield texts
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scores = toxicity.score(df, toxicity.train(df, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()
+    texts = {r.doc_id: texts[r.doc_id] for r in scores if not r.predicted}
+    yield texts
+    groups, _ = brute_groups(list(texts.items()))
+    texts = {i: t for i, t in texts.items() if groups[i] == i}
+    yield texts
+    weights = pii.fit(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    yield {i: pii.redacted(t, pii.spans(t, weights)[1]) for i, t in texts.items()}
+
+
+def test_pipeline_by_plain_python(spark, tmp_path):
+    from conftest import SF_SMALL
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    first = docs.orderBy("doc_id").first()
+    rng = random.Random(12)
+    notice = "a notice that ten documents hold"
+    more = [(10 ** 6 + i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) + f"\n{notice}\nmail x{i}@example.com", first.source)
+            for i in range(10)]
+    more += [(10 ** 6 + 50 + i, more[0][1].split("\n")[0] + f" more{i}", first.source) for i in range(2)]
+    extra = spark.createDataFrame(more, "doc_id long, text string, source string")
+    extra = extra.select(*(F.lit(first[c]).cast(docs.schema[c].dataType).alias(c) if c not in extra.columns
+                           else F.col(c).cast(docs.schema[c].dataType) for c in docs.columns))
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF_SMALL}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    want = None
+    for (name, stage), want in zip(corpus_pipeline.STAGES, plain_pipeline(spark, rows, str(tmp_path))):
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert {r.doc_id: r.text for r in docs.collect()} == want, name
+    assert "<EMAIL>" in want[10 ** 6 + 1] and notice not in want[10 ** 6 + 1] and 10 ** 6 + 50 not in want
+    lib = Tokenizer.from_file(corpus_pipeline.tokenizer_path("word_bpe_49k.json"))
+    ids = {i: [*lib.encode(t, add_special_tokens=False).ids, 2] for i, t in want.items()}
+    pieces = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        piece = np.array(ids[r.doc_id][r.start:r.start + r.length])
+        assert r.doc_tokens == len(ids[r.doc_id]) and len(piece) == r.length
+        assert r.ids_crc32 == zlib.crc32(piece.astype("<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert set(pieces) == set(ids)
+    for i, found in pieces.items():
+        assert [s for s, _ in sorted(found)] == [0, *np.cumsum([n for _, n in sorted(found)])[:-1]]
+        assert sum(n for _, n in found) == len(ids[i])
