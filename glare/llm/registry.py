@@ -4,10 +4,11 @@ from __future__ import annotations
 import corpus_pipeline
 from glare.llm.bpe_codec import op1_bpe_codec
 from glare.llm.embeddings import op10_embeddings
+from glare.llm.fim import op11_fim
 from glare.llm.minhash import op6_minhash
 from glare.llm.pii import op9_pii
 from glare.llm.packing import op3_packing
-from glare.llm import chat, quality, warc
+from glare.llm import chat, fim, quality, warc
 from glare.llm.toxicity import op7_toxicity
 from glare.llm.rans import op4_rans
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
+    "op11_fim": op11_fim,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op2_quality": quality.SQL,
     "op5_chat": chat.SQL,
     "op8_warc": warc.SQL,
+    "op11_fim": fim.SQL,
 }
