@@ -11,6 +11,7 @@ from glare.llm.packing import op3_packing
 from glare.llm import chat, fim, quality, warc
 from glare.llm.toxicity import op7_toxicity
 from glare.llm.rans import op4_rans
+from glare.llm.token_counts import op13_token_counts
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
     "op11_fim": op11_fim,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
