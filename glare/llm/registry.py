@@ -5,10 +5,11 @@ import corpus_pipeline
 from glare.llm.bpe_codec import op1_bpe_codec
 from glare.llm.embeddings import op10_embeddings
 from glare.llm.fim import op11_fim
+from glare.llm.hard_negatives import op12_hard_negatives
 from glare.llm.minhash import op6_minhash
 from glare.llm.pii import op9_pii
 from glare.llm.packing import op3_packing
-from glare.llm import chat, fim, quality, warc
+from glare.llm import chat, fim, hard_negatives, quality, warc
 from glare.llm.toxicity import op7_toxicity
 from glare.llm.rans import op4_rans
 from glare.llm.token_counts import op13_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
     "op11_fim": op11_fim,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op5_chat": chat.SQL,
     "op8_warc": warc.SQL,
     "op11_fim": fim.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
