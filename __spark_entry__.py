@@ -70,6 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pooled_logit": S.pooled_logit,
         "style_logit": S.style_logit,
         "hier_engagement": S.hier_engagement,
+        "hier_residuals": S.hier_residuals,
+        "fitted_values": S.fitted_values,
+        "predictive_band": S.predictive_band,
         "pair_gap": S.pair_gap,
         "pair_summary": S.pair_summary,
         "variant_scores": S.variant_scores,
@@ -274,6 +277,30 @@ def _gram_sql() -> str:
     return "WITH " + CAUSAL + "\n" + "\nUNION ALL\n".join(parts)
 
 
+def _fitted_sql() -> str:
+    pairs = [("alpha", "alpha"), ("alpha", "beta"), ("alpha", "gamma"), ("beta", "beta"), ("beta", "gamma"), ("gamma", "gamma")]
+    k = len(standins.STRATA)
+    rows = ", ".join(f"({i}, {_q(x)})" for i, x in enumerate(standins.STRATA))
+    factor = {"alpha": "1", "beta": "a", "gamma": "t"}
+    var = " + ".join(f"c_{p}_{q} * {factor[p]} * {factor[q]} * {1 if p == q else 2}" for p, q in pairs)
+    return f"""WITH {CORPUS},
+f AS (SELECT doc_id, source || '_' || CASE fake WHEN 0 THEN 'real' WHEN 1 THEN 'fake' END AS stratum, ln(1 + n_tweets) AS y,
+    {_features('title', standins.CORPUS_LEXICONS)} FROM c0),
+x AS (SELECT doc_id, stratum, y, caps_ratio - avg(caps_ratio) OVER () AS a, (title_len_words - avg(title_len_words) OVER ())
+    / CASE WHEN stddev_samp(title_len_words) OVER () = 0 THEN 1 ELSE stddev_samp(title_len_words) OVER () END AS t FROM f),
+d AS (SELECT stratum, CAST(embedding[i + 1] AS DOUBLE) AS alpha, CAST(embedding[i + {k + 1}] AS DOUBLE) AS beta,
+    CAST(embedding[{2 * k + 1}] AS DOUBLE) AS gamma, 0.5 + abs(CAST(embedding[{2 * k + 2}] AS DOUBLE)) AS s
+  FROM embeddings CROSS JOIN (VALUES {rows}) AS z(i, stratum)),
+g AS (SELECT stratum, avg(alpha) AS alpha, avg(beta) AS beta, avg(gamma) AS gamma, avg(s * s) AS noise2,
+    {", ".join(f"covar_samp({p}, {q}) AS c_{p}_{q}" for p, q in pairs)} FROM d GROUP BY stratum),
+v AS (SELECT doc_id, x.stratum, y, alpha + beta * a + gamma * t AS fitted, greatest({var}, 0) AS v, noise2
+  FROM x LEFT JOIN g ON x.stratum = g.stratum),
+w AS (SELECT *, y - fitted AS residual, sqrt(v + noise2) AS ps FROM v)
+SELECT doc_id, stratum, round(y, 9) AS y, round(fitted, 9) AS fitted, round(sqrt(v), 9) AS fitted_sd, round(ps, 9) AS predictive_sd,
+  round(residual, 9) AS residual, round(residual / ps, 9) AS z,
+  round(-0.5 * (residual / ps) * (residual / ps) - ln(ps) - 0.5 * ln(2 * pi()), 9) AS log_density FROM w"""
+
+
 def _tone_down_sql() -> str:
     mapping = standins.CORPUS_LEXICONS.neutralize_map()
     key = "lower(regexp_replace(w, '[^\\p{L}\\p{N}_]', '', 'g'))"
@@ -383,6 +410,14 @@ per AS (SELECT param, chain, half, count(*) AS h, avg(value) AS m, var_samp(valu
         FROM q WHERE half IS NOT NULL GROUP BY param, chain, half),
 agg AS (SELECT param, min(h) AS h, var_samp(m) AS bh, avg(v) AS w FROM per GROUP BY param)
 SELECT param, round(sqrt(((h - 1) / h * w + bh) / w), 9) AS r_hat FROM agg""",
+        "fitted_values": _fitted_sql(),
+        "predictive_band": f"""WITH {HEADLINES},
+s AS (SELECT doc_id, (rank() OVER (ORDER BY n_tweets) - 1) / CAST(count(*) OVER () AS DOUBLE) AS score FROM h),
+u AS (SELECT DISTINCT score, score - (SELECT avg(score) FROM s) AS c FROM s),
+p AS (SELECT score, 1 / (1 + exp(-(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) * c))) AS p FROM u CROSS JOIN embeddings),
+b AS (SELECT score, avg(p) AS p_mean, quantile_cont(p, 0.03) AS p_lo, quantile_cont(p, 0.97) AS p_hi FROM p GROUP BY score)
+SELECT doc_id, round(score, 9) AS score, round(p_mean, 9) AS p_mean, round(p_lo, 9) AS p_lo, round(p_hi, 9) AS p_hi
+FROM s JOIN b USING (score)""",
         "tone_down": _tone_down_sql(),
         "tone_up": _tone_up_sql(),
         "lexicon_sentiment": f"""WITH {LINES},{_sentiment('sen', 'lines', 'title', standins.CORPUS_SENTIMENT)}

@@ -18,7 +18,7 @@ from ..operators.gram import gram_long
 from ..sources import standins
 from ..sources.files import read_table, spread
 from ..session import cut_lineage, memo
-from . import bayes, linear, posterior
+from . import bands, bayes, fitted, linear, posterior
 
 SEED = 42
 SCORE_FEATURES = list(STYLE_FEATURES)           # the 12 score inputs (length excluded)
@@ -275,7 +275,44 @@ def hier_engagement(spark: SparkSession, base: str) -> DataFrame:
     return bayes.summary_frame(spark, post)
 
 
+def _residual_design(f: DataFrame) -> DataFrame:
+    """doc_id, stratum, y, centred a, standardized t of the feature table."""
+    f = f.withColumns({"y": N.log_engagement("n_tweets"), "stratum": N.stratum("source", "fake")})
+    st = scale.column_stats(f, ["caps_ratio", "title_len_words"], ddof=1)
+    return f.select("doc_id", "stratum", "y", (F.col("caps_ratio") - F.lit(st["caps_ratio"][0])).alias("a"),
+                    ((F.col("title_len_words") - F.lit(st["title_len_words"][0])) / F.lit(st["title_len_words"][1] or 1.0)).alias("t"))
+
+
+def fitted_values(spark: SparkSession, base: str) -> DataFrame:
+    """Every row's fitted value, predictive sd and residual under a trace of
+    stratum parameters given as a table."""
+    rows = _residual_design(feature_table(spark, base))
+    f = fitted.fitted_values(rows, fitted.stratum_parameters(standins.stratum_draws(spark, base)), "stratum", "a", "t", "y")
+    return f.select("doc_id", "stratum", *[_r(c).alias(c) for c in
+                    ("y", "fitted", "fitted_sd", "predictive_sd", "residual", "z", "log_density")])
+
+
+def hier_residuals(spark: SparkSession, base: str) -> DataFrame:
+    """J4 on M8: residual checks per stratum of the fitted hierarchical model."""
+    ranked, _ = attention_holdout(spark, base)
+    d = _pooled_design(ranked).withColumn("stratum", N.stratum("source", "fake"))
+    post = bayes.bayes_hierarchical(bayes.stratum_sums(d, "stratum", "a", "tlen", "log_engagement"), "stratum", seed=SEED)
+    rows = fitted.fitted_values(d, fitted.stratum_parameters(bayes.posterior_frame(spark, post)), "stratum", "a", "tlen", "log_engagement")
+    r = fitted.residual_report(rows, "stratum")
+    return r.select("stratum", "n", *[_r(c).alias(c) for c in r.columns[2:]])
+
+
 # -------------------------------------------------------- posterior ops
+def predictive_band(spark: SparkSession, base: str) -> DataFrame:
+    """Every headline's probability band over all draws of a table;
+    the score is the share of headlines with fewer list items (W3)."""
+    h = standins.headlines(spark, base).select("doc_id", "n_tweets")
+    s = cut_lineage(order_stats.share_below(h, "n_tweets", h, "n_tweets", "score"))
+    draws = bands.linear_draws(standins.draws(spark, base), 0, 1)
+    b = bands.with_band(s, "score", draws, float(s.agg(F.avg("score")).first()[0] or 0.0))
+    return b.select("doc_id", *[_r(c).alias(c) for c in ("score", "p_mean", "p_lo", "p_hi")])
+
+
 def posterior_hdi(spark: SparkSession, base: str) -> DataFrame:
     """W6 + A7 per parameter over a draws table."""
     d = standins.draws(spark, base)

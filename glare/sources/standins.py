@@ -132,3 +132,17 @@ def draws(spark: SparkSession, base: str, chains: int = 4) -> DataFrame:
         (F.col("vec_id") % chains).cast("int").alias("chain"),
         F.posexplode("embedding").alias("param", "value"),
     ).select("param", "chain", "draw", F.col("value").cast("double").alias("value"))
+
+
+#: strata of the stand-in corpus, as ``numeric.stratum`` names them, in order
+STRATA = tuple(f"{g}_{k}" for g in SOURCE_GROUPS for k in ("fake", "real"))
+
+
+def stratum_draws(spark: SparkSession, base: str, chains: int = 4) -> DataFrame:
+    """param, chain, draw, value shaped like the hierarchical model's trace: each
+    embedding gives an intercept and a slope for every stratum, a shared slope
+    and a positive noise."""
+    names = [f"alpha_s[{s}]" for s in STRATA] + [f"b_attention_s[{s}]" for s in STRATA] + ["b_title_len", "sigma"]
+    d = draws(spark, base, chains).where(F.col("param") < len(names))
+    value = F.when(F.col("param") == len(names) - 1, 0.5 + F.abs("value")).otherwise(F.col("value"))
+    return d.select(F.element_at(F.array(*map(F.lit, names)), F.col("param") + 1).alias("param"), "chain", "draw", value.alias("value"))
