@@ -57,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ridge_one_feature": S.ridge_one_feature,
         "percentile_rank_avg": S.percentile_rank_avg,
         "percentile_vs_reference": S.percentile_vs_reference,
+        "score_against_index": S.score_against_index,
         "posterior_hdi": S.posterior_hdi,
         "rhat_table": S.rhat_table,
         "posterior_summary": S.posterior_summary,
@@ -266,6 +267,17 @@ d AS (SELECT vec_id AS draw, CAST(vec_id % 4 AS INTEGER) AS chain,
       FROM embeddings)"""
 
 
+SHARE_BELOW = """WITH u AS (
+  SELECT l_extendedprice AS v, 0 AS w FROM lineitem WHERE l_extendedprice IS NOT NULL
+  UNION ALL SELECT o_totalprice, 1 FROM orders WHERE o_totalprice IS NOT NULL),
+r AS (SELECT v, sum(w) OVER (ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             - sum(w) OVER (PARTITION BY v) AS below FROM u),
+dv AS (SELECT DISTINCT v, below FROM r),
+n AS (SELECT count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL)
+SELECT l_orderkey, l_linenumber, round(below / n, 9) AS pct
+FROM lineitem LEFT JOIN dv ON l_extendedprice = dv.v CROSS JOIN n"""
+
+
 def _gram_sql() -> str:
     names = ["1", "sensational_ratio", "caps_ratio", "exclamations", "questions", "y"]
     expr = {n: ("1.0" if n == "1" else n) for n in names}
@@ -381,15 +393,8 @@ SELECT 'caps_ratio' AS feature, round((sxy / sd) / (sxx / (sd * sd) + 1.0), 9) A
   CASE WHEN o_totalprice IS NOT NULL THEN round((rank() OVER (ORDER BY o_totalprice) - 1
      + (count(*) OVER (PARTITION BY o_totalprice) + 1) / 2.0) / count(o_totalprice) OVER (), 9) END AS pct
 FROM orders""",
-        "percentile_vs_reference": """WITH u AS (
-  SELECT l_extendedprice AS v, 0 AS w FROM lineitem WHERE l_extendedprice IS NOT NULL
-  UNION ALL SELECT o_totalprice, 1 FROM orders WHERE o_totalprice IS NOT NULL),
-r AS (SELECT v, sum(w) OVER (ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-             - sum(w) OVER (PARTITION BY v) AS below FROM u),
-dv AS (SELECT DISTINCT v, below FROM r),
-n AS (SELECT count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL)
-SELECT l_orderkey, l_linenumber, round(below / n, 9) AS pct
-FROM lineitem LEFT JOIN dv ON l_extendedprice = dv.v CROSS JOIN n""",
+        "percentile_vs_reference": SHARE_BELOW,
+        "score_against_index": SHARE_BELOW,
         "posterior_hdi": f"""WITH {DRAWS},
 s AS (SELECT param, value, row_number() OVER (PARTITION BY param ORDER BY value) - 1 AS i,
         count(*) OVER (PARTITION BY param) AS n FROM d WHERE value IS NOT NULL),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import order_stats
 from ..operators.gram import gram
+from ..operators.rank_index import RankIndex, load_rank_index, write_rank_index
 from ..session import cut_lineage
 
 
@@ -86,6 +87,12 @@ def score_against_reference(df: DataFrame, model: RidgeModel, reference: DataFra
     return order_stats.share_below(scored, "__raw", reference, ref_col, out).drop("__raw")
 
 
+def score_against_index(df: DataFrame, model: RidgeModel, index: RankIndex, out: str = "attention_score") -> DataFrame:
+    """M4 against a persisted reference: share of it strictly below each row's raw
+    score. Rows are looked up, nothing is sorted; also for streams."""
+    return index.share_below(df.withColumn("__raw", model.raw_score()), "__raw", out).drop("__raw")
+
+
 def ranked_coefficients(spark: SparkSession, model: RidgeModel, k: int | None = None) -> DataFrame:
     """O1 + O2: coefficients in descending size, the ``k`` largest where asked for."""
     out = model.coefficients(spark).where(F.col("feature") != "(intercept)").orderBy(F.abs("coef").desc(), "feature")
@@ -93,12 +100,20 @@ def ranked_coefficients(spark: SparkSession, model: RidgeModel, k: int | None =
 
 
 def save_bundle(model: RidgeModel, reference: DataFrame, path: str, ref_col: str = "raw_score") -> None:
-    """Coefficient table + reference raw scores, both parquet."""
+    """Coefficient table, reference raw scores in order (O3) and their rank
+    index, all parquet."""
     spark = reference.sparkSession
     model.coefficients(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/coefficients")
-    reference.select(F.col(ref_col).alias("raw_score")).write.mode("overwrite").parquet(f"{path}/reference")
+    ref = reference.select(F.col(ref_col).alias("raw_score"))
+    ref.repartitionByRange("raw_score").sortWithinPartitions("raw_score").write.mode("overwrite").parquet(f"{path}/reference")
+    write_rank_index(spark.read.schema(ref.schema).parquet(f"{path}/reference"), "raw_score", f"{path}/rank_index")
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[RidgeModel, DataFrame]:
     return (RidgeModel.from_coefficients(spark.read.parquet(f"{path}/coefficients")),
             spark.read.parquet(f"{path}/reference"))
+
+
+def load_scorer(spark: SparkSession, path: str) -> tuple[RidgeModel, RankIndex]:
+    """The bundle for scoring: coefficients and rank index; the reference is not read."""
+    return RidgeModel.from_coefficients(spark.read.parquet(f"{path}/coefficients")), load_rank_index(spark, f"{path}/rank_index")

@@ -6,18 +6,22 @@ and returns a DataFrame; the model fits collect only small aggregates.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import rewrite as R
-from ..functions.sentiment import SENTIMENT, with_sentiment
-from ..functions.text import ALL_FEATURES, LEXICAL_FEATURES, SENTIMENT_FEATURES, STYLE_FEATURES, with_style_features
+from ..functions.sentiment import SENTIMENT, InlineLexicon, with_inline_sentiment, with_sentiment
+from ..functions.text import (ALL_FEATURES, LEXICAL_FEATURES, SENTIMENT_FEATURES, STYLE_FEATURES, first_line,
+                              with_style_features)
 from ..operators import order_stats, prep, scale
 from ..operators.gram import gram_long
+from ..operators.rank_index import load_rank_index, write_rank_index
 from ..sources import standins
 from ..sources.files import read_table, spread
-from ..session import cut_lineage, memo
+from ..session import checkpoint_dir, cut_lineage, memo
 from . import bands, bayes, fitted, linear, posterior
 
 SEED = 42
@@ -350,10 +354,11 @@ def tone_up(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Q5
-def pair_table(spark: SparkSession, base: str, n: int | None = None):
+def pair_table(spark: SparkSession, base: str, n: int | None = None, rewrites: DataFrame | None = None):
     """Q5: all neutral real titles of the held-out split (``n``: a seeded
-    sample of them, O4), seeded rule sensationalizer, both scored against the split-B reference (M4), paired
-    gap and style-discriminator gap (M11)."""
+    sample of them, O4), seeded rule sensationalizer or, where ``rewrites`` (doc_id,
+    sensational; one row for each id) has one, an outside rewrite (T8), both scored
+    against the split-B reference (M4), paired gap and style-discriminator gap (M11)."""
     ranked, model = attention_holdout(spark, base)
     neutral = ranked.where(F.col("fake") == 0).select("doc_id", F.col("title").alias("neutral"))
     if n is not None:
@@ -361,12 +366,14 @@ def pair_table(spark: SparkSession, base: str, n: int | None = None):
     pairs = R.with_tone_up_seeded(neutral, "neutral", "sensational",
                                   prep.seeded_uniform(SEED, "doc_id", F.lit("word")),
                                   prep.seeded_uniform(SEED, "doc_id", F.lit("prefix")))
+    if rewrites is not None:
+        pairs = R.with_external_rewrites(pairs.withColumnRenamed("sensational", "__rule"), rewrites, "doc_id", "sensational",
+                                         "sensational", F.col("__rule")).drop("__rule")
     long = pairs.select("doc_id", R.variants("neutral", "neutral", "sensational").alias("v")) \
         .select("doc_id", "v.version", "v.text").where(F.col("version") != "down") \
         .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
     f = featurize(spark, long, "text")
-    ref = ranked.select("raw_score")
-    scored = linear.score_against_reference(f, model, ref, "raw_score", "score")
+    scored = linear.score_against_index(f, model, rank_index(spark, base), "score")
     z, _ = scale.standardize(scored, PAIR_STYLE_UP, ddof=1, zero_policy="epsilon", suffix="_z")
     z = z.withColumn("style", N.row_sum([c + "_z" for c in PAIR_STYLE_UP]))
     wide = z.groupBy("doc_id").agg(
@@ -397,38 +404,66 @@ def pair_summary(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Q6
-def score_versions(spark: SparkSession, texts: DataFrame, model, reference: DataFrame,
-                   band: dict) -> DataFrame:
-    """Q6 body for any (doc_id, text) frame, batch or micro-batch: first line
-    as headline (C3), toned-down and toned-up versions (T1, T5, T7), features,
-    out-of-sample attention percentile (M4), P(fake) band (M12), differences
-    from the original (C8)."""
-    from ..functions.text import first_line
+VERSIONS = ("down", "original", "up")
+
+
+def _versions(h: DataFrame, rewrites: DataFrame | None) -> DataFrame:
+    """(doc_id, original, down, up)."""
+    h = R.with_tone_up(h.withColumn("down", R.tone_down("original", standins.CORPUS_LEXICONS)), "original", "up")
+    if rewrites is None:
+        return h
+    for v in ("down", "up"):
+        h = R.with_external_rewrites(h.withColumnRenamed(v, "__rule"), rewrites, "doc_id", v, v, F.col("__rule")).drop("__rule")
+    return h
+
+
+def score_versions(spark: SparkSession, texts: DataFrame, model, index, band: dict, rewrites: DataFrame | None = None) -> DataFrame:
+    """Q6 body for any (doc_id, text) frame, table or stream: first line as headline
+    (C3), toned-down and toned-up versions (T1, T5, T7), features, out-of-sample
+    attention percentile from the persisted index (M4), P(fake) band (M12) and
+    differences from the original (C8).
+
+    Every row is scored by itself: its three versions are columns until the end, so
+    nothing is numbered, grouped or sorted, repeated ids stay apart, and the plan
+    is the scan, lookups in the index and one explode. ``rewrites`` (doc_id, down,
+    up; one row for each id) replaces the rules' versions where it has them (T8)."""
     h = texts.select("doc_id", first_line("text").alias("original")).where(F.col("original").isNotNull())
-    # a row is its own group, whatever ids repeat; numbered before the checkpoint inside the scorer
-    h = h.withColumn("__row", F.monotonically_increasing_id())
-    h = h.withColumn("down", R.tone_down("original", standins.CORPUS_LEXICONS))
-    h = R.with_tone_up(h, "original", "up")
-    long = h.select("__row", "doc_id", R.variants("original", "down", "up").alias("v"), "original", "down") \
-        .select("__row", "doc_id", "v.version", "v.text", (F.col("down") == F.col("original")).alias("down_unchanged"))
-    f = featurize(spark, long, "text")
-    s = linear.score_against_reference(f, model, reference, "raw_score", "score")
-    c = F.col("score") - F.lit(band["mean_score"])
-    mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
-    sd = F.sqrt(F.lit(band["va"]) + c * c * F.lit(band["vb"]) + F.lit(2 * band["cab"]) * c)
-    bands = posterior.logistic_band(mu, sd, 0.03, 0.97)
-    row = F.struct("version", "text", "down_unchanged", "score", "vader_neg", "emotional_intensity",
-                   *[v.alias(k) for k, v in bands.items()])
-    # three versions per row: the difference to the original needs no second pass
-    three = s.groupBy("__row", "doc_id").agg(F.collect_list(row).alias("v"),
-                                             F.max(F.when(F.col("version") == "original", F.col("score"))).alias("__s0"))
-    out = three.select("doc_id", F.explode("v").alias("v"), "__s0").select("doc_id", "v.*", "__s0")
-    return out.withColumn("score_vs_original", F.col("score") - F.col("__s0")).drop("__s0")
+    h, lexicon = _versions(h, rewrites), InlineLexicon(standins.sentiment_lexicon(spark))
+    keep = ["vader_neg", "emotional_intensity"]
+    for v in VERSIONS:
+        f = with_style_features(h.withColumn("__text", F.col(v)), "__text", standins.CORPUS_LEXICONS).drop(*SENTIMENT_FEATURES)
+        f = with_inline_sentiment(f, "__text", lexicon).withColumn("__raw", model.raw_score())
+        h = f.select(*h.columns, "__raw", *(F.col(c).alias(f"__{c}_{v}") for c in keep))
+        h = index.share_below(h, "__raw", f"__score_{v}").drop("__raw")
+
+    def version(v):
+        score = F.col(f"__score_{v}")
+        c = score - F.lit(band["mean_score"])
+        mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
+        sd = F.sqrt(F.lit(band["va"]) + c * c * F.lit(band["vb"]) + F.lit(2 * band["cab"]) * c)
+        bands = posterior.logistic_band(mu, sd, 0.03, 0.97)
+        return F.struct(F.lit(v).alias("version"), F.col(v).alias("text"), (F.col("down") == F.col("original")).alias("down_unchanged"),
+                        score.alias("score"), *(F.col(f"__{c}_{v}").alias(c) for c in keep), *(x.alias(k) for k, x in bands.items()),
+                        (score - F.col("__score_original")).alias("score_vs_original"))
+
+    return h.select("doc_id", F.explode(F.array(*map(version, VERSIONS))).alias("v")).select("doc_id", "v.*")
+
+
+
+def rank_index(spark: SparkSession, base: str):
+    """The held-out raw scores as a persisted rank index, written once per
+    application to the shared folder."""
+    def build():
+        ranked, _ = attention_holdout(spark, base)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/rank-index-{uuid.uuid4().hex}"
+        write_rank_index(ranked, "raw_score", path)
+        return load_rank_index(spark, path)
+    return memo(spark, ("rank_index", base), build)
 
 
 def scoring_artifacts(spark: SparkSession, base: str):
-    """Fitted score model, reference raw scores and the pooled-logit band
-    parameters (the study's bundle, trace and holdout mean)."""
+    """Fitted score model, rank index of the reference raw scores and the pooled-logit
+    band parameters (the study's bundle, trace and holdout mean)."""
     def build():
         ranked, model = attention_holdout(spark, base)
         d = _pooled_design(ranked)
@@ -438,7 +473,7 @@ def scoring_artifacts(spark: SparkSession, base: str):
         band = {"mean_score": float(ranked.agg(F.avg("attention_score")).first()[0]),
                 "ma": float(post.mean[0]), "mb": float(post.mean[1]), "va": float(post.cov[0, 0]),
                 "vb": float(post.cov[1, 1]), "cab": float(post.cov[0, 1])}
-        return model, ranked.select("raw_score"), band
+        return model, rank_index(spark, base), band
     return memo(spark, ("scoring_artifacts", base), build)
 
 
@@ -446,9 +481,10 @@ def variant_scores(spark: SparkSession, base: str) -> DataFrame:
     """Q6: every headline's three versions scored: attention percentile
     against the split-B reference (M4) and P(fake) with a 94% band from the
     pooled logistic posterior (M12, closed form over the Laplace posterior)."""
-    model, reference, band = scoring_artifacts(spark, base)
-    texts = spread(read_table(spark, base, "documents").select("doc_id", "text"), "doc_id")
-    return score_versions(spark, texts, model, reference, band)
+    model, index, band = scoring_artifacts(spark, base)
+    # only the first line can cross a shuffle
+    texts = spread(read_table(spark, base, "documents").select("doc_id", first_line("text").alias("text")), "doc_id")
+    return score_versions(spark, texts, model, index, band)
 
 
 # ---------------------------------------------------------------- ranks
@@ -467,6 +503,15 @@ def percentile_vs_reference(spark: SparkSession, base: str) -> DataFrame:
     return r.select("l_orderkey", "l_linenumber", _r("pct").alias("pct"))
 
 
+def score_against_index(spark: SparkSession, base: str) -> DataFrame:
+    """Each line price against the order prices in a persisted rank index."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/price-index-{uuid.uuid4().hex}"
+    write_rank_index(read_table(spark, base, "orders"), "o_totalprice", path)
+    li = read_table(spark, base, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    r = load_rank_index(spark, path).share_below(li, "l_extendedprice", "pct")
+    return r.select("l_orderkey", "l_linenumber", _r("pct").alias("pct"))
+
+
 def lexicon_sentiment(spark: SparkSession, base: str) -> DataFrame:
     """N1 over every non-blank line of every document with the test lexicon."""
     s = with_sentiment(standins.lines(spark, base), "title", standins.sentiment_lexicon(spark))

@@ -1,5 +1,6 @@
 """The sentiment job against values worked out by hand from the published rules."""
 import math
+import random
 
 import pytest
 
@@ -75,3 +76,26 @@ def test_unbounded_exceptions_raise(spark):
     many = spark.createDataFrame([(f"w{i}n't", 1.0) for i in range(SN.MOST_NT_WORDS + 60)], "token string, valence double")
     with pytest.raises(ValueError):
         SN.with_sentiment(spark.createDataFrame([("a",)], "t string"), "t", many)
+
+
+def test_inline_form_equals_the_job(spark, lexicon):
+    words = [w for w, _ in LEX] + ["not", "really", "GOOD", "kind", "of", "but", "BAD!", "x", "don't", "hardly", "VERY", "news??"]
+    rng = random.Random(6)
+    texts = [g[0] for g in GOLDEN] + [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(400)] + [None, "  ", "good good"]
+    df = spark.createDataFrame([(i % 50, t, 1.0) for i, t in enumerate(texts)], "id long, t string, v double")
+    job, inline = SN.with_sentiment(df, "t", lexicon), SN.with_inline_sentiment(df, "t", SN.InlineLexicon(lexicon))
+    assert inline.columns == job.columns
+    key = lambda r: (r.id, str(r.t))
+    for a, b in zip(sorted(job.collect(), key=key), sorted(inline.collect(), key=key), strict=True):
+        assert (a.id, a.t) == (b.id, b.t) and list(b)[2:] == (pytest.approx(list(a)[2:], abs=1e-12) if a.t is not None else list(a)[2:]), a.t
+    plan = inline._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_inline_lexicon_is_bounded(spark):
+    many = spark.range(SN.MOST_INLINE_WORDS + 5).selectExpr("concat('w', id) as token", "1.0D as valence")
+    with pytest.raises(ValueError):
+        SN.InlineLexicon(many)
+    none = SN.InlineLexicon(many.where("false"))
+    r = SN.with_inline_sentiment(spark.createDataFrame([("w1 w2",)], "t string"), "t", none).first()
+    assert r.vader_pos == 0.0 and r.vader_compound == 0.0
