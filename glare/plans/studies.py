@@ -20,7 +20,7 @@ from ..operators import order_stats, prep, scale
 from ..operators.gram import gram_long
 from ..operators.rank_index import load_rank_index, write_rank_index
 from ..sources import standins
-from ..sources.files import read_table, spread
+from ..sources.files import read_table
 from ..session import checkpoint_dir, cut_lineage, memo
 from . import bands, bayes, fitted, linear, posterior
 
@@ -404,9 +404,6 @@ def pair_summary(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Q6
-VERSIONS = ("down", "original", "up")
-
-
 def _versions(h: DataFrame, rewrites: DataFrame | None) -> DataFrame:
     """(doc_id, original, down, up)."""
     h = R.with_tone_up(h.withColumn("down", R.tone_down("original", standins.CORPUS_LEXICONS)), "original", "up")
@@ -418,36 +415,36 @@ def _versions(h: DataFrame, rewrites: DataFrame | None) -> DataFrame:
 
 
 def score_versions(spark: SparkSession, texts: DataFrame, model, index, band: dict, rewrites: DataFrame | None = None) -> DataFrame:
-    """Q6 body for any (doc_id, text) frame, table or stream: first line as headline
+    """Q6 body for any (doc_id, text) frame, table or micro-batch: first line as headline
     (C3), toned-down and toned-up versions (T1, T5, T7), features, out-of-sample
     attention percentile from the persisted index (M4), P(fake) band (M12) and
     differences from the original (C8).
 
-    Every row is scored by itself: its three versions are columns until the end, so
-    nothing is numbered, grouped or sorted, repeated ids stay apart, and the plan
-    is the scan, lookups in the index and one explode. ``rewrites`` (doc_id, down,
-    up; one row for each id) replaces the rules' versions where it has them (T8)."""
+    Rows equal in id and headline are scored once, with their number, and unfolded at
+    the end; rows that repeat an id with other headlines stay apart. Headlines cross
+    one shuffle, on (doc_id, headline), and their versions come together on the same
+    key; nothing is numbered, sorted or read from the reference but its index.
+    ``rewrites`` (doc_id, down, up; one row for each id) replaces the rules' versions
+    where it has them (T8)."""
     h = texts.select("doc_id", first_line("text").alias("original")).where(F.col("original").isNotNull())
-    h, lexicon = _versions(h, rewrites), InlineLexicon(standins.sentiment_lexicon(spark))
-    keep = ["vader_neg", "emotional_intensity"]
-    for v in VERSIONS:
-        f = with_style_features(h.withColumn("__text", F.col(v)), "__text", standins.CORPUS_LEXICONS).drop(*SENTIMENT_FEATURES)
-        f = with_inline_sentiment(f, "__text", lexicon).withColumn("__raw", model.raw_score())
-        h = f.select(*h.columns, "__raw", *(F.col(c).alias(f"__{c}_{v}") for c in keep))
-        h = index.share_below(h, "__raw", f"__score_{v}").drop("__raw")
-
-    def version(v):
-        score = F.col(f"__score_{v}")
-        c = score - F.lit(band["mean_score"])
-        mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
-        sd = F.sqrt(F.lit(band["va"]) + c * c * F.lit(band["vb"]) + F.lit(2 * band["cab"]) * c)
-        bands = posterior.logistic_band(mu, sd, 0.03, 0.97)
-        return F.struct(F.lit(v).alias("version"), F.col(v).alias("text"), (F.col("down") == F.col("original")).alias("down_unchanged"),
-                        score.alias("score"), *(F.col(f"__{c}_{v}").alias(c) for c in keep), *(x.alias(k) for k, x in bands.items()),
-                        (score - F.col("__score_original")).alias("score_vs_original"))
-
-    return h.select("doc_id", F.explode(F.array(*map(version, VERSIONS))).alias("v")).select("doc_id", "v.*")
-
+    h = _versions(h.groupBy("doc_id", "original").agg(F.count("*").alias("__copies")), rewrites)
+    long = h.select("doc_id", "original", "__copies", (F.col("down") == F.col("original")).alias("down_unchanged"),
+                    R.variants("original", "down", "up").alias("v")) \
+        .select("doc_id", "original", "__copies", "down_unchanged", "v.version", "v.text")
+    f = with_style_features(long, "text", standins.CORPUS_LEXICONS).drop(*SENTIMENT_FEATURES)
+    f = with_inline_sentiment(f, "text", InlineLexicon(standins.sentiment_lexicon(spark)))
+    s = linear.score_against_index(f, model, index, "score")
+    c = F.col("score") - F.lit(band["mean_score"])
+    mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
+    sd = F.sqrt(F.lit(band["va"]) + c * c * F.lit(band["vb"]) + F.lit(2 * band["cab"]) * c)
+    bands = posterior.logistic_band(mu, sd, 0.03, 0.97)
+    row = F.struct("version", "text", "down_unchanged", "score", "vader_neg", "emotional_intensity",
+                   *[x.alias(k) for k, x in bands.items()])
+    three = s.groupBy("doc_id", "original", "__copies").agg(
+        F.collect_list(row).alias("v"), F.max(F.when(F.col("version") == "original", F.col("score"))).alias("__s0"))
+    out = three.select("doc_id", F.explode("v").alias("v"), "__s0", "__copies").select("doc_id", "v.*", "__s0", "__copies")
+    out = out.withColumn("score_vs_original", F.col("score") - F.col("__s0"))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__s0", "__copies", "__copy")
 
 
 def rank_index(spark: SparkSession, base: str):
@@ -482,8 +479,7 @@ def variant_scores(spark: SparkSession, base: str) -> DataFrame:
     against the split-B reference (M4) and P(fake) with a 94% band from the
     pooled logistic posterior (M12, closed form over the Laplace posterior)."""
     model, index, band = scoring_artifacts(spark, base)
-    # only the first line can cross a shuffle
-    texts = spread(read_table(spark, base, "documents").select("doc_id", first_line("text").alias("text")), "doc_id")
+    texts = read_table(spark, base, "documents").select("doc_id", "text")
     return score_versions(spark, texts, model, index, band)
 
 
