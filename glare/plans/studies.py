@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import rewrite as R
-from ..functions.sentiment import SENTIMENT, InlineLexicon, with_inline_sentiment, with_sentiment
+from ..functions.sentiment import SENTIMENT, with_sentiment
 from ..functions.text import (ALL_FEATURES, LEXICAL_FEATURES, SENTIMENT_FEATURES, STYLE_FEATURES, first_line,
                               with_style_features)
 from ..operators import order_stats, prep, scale
@@ -431,9 +431,8 @@ def score_versions(spark: SparkSession, texts: DataFrame, model, index, band: di
     long = h.select("doc_id", "original", "__copies", (F.col("down") == F.col("original")).alias("down_unchanged"),
                     R.variants("original", "down", "up").alias("v")) \
         .select("doc_id", "original", "__copies", "down_unchanged", "v.version", "v.text")
-    f = with_style_features(long, "text", standins.CORPUS_LEXICONS).drop(*SENTIMENT_FEATURES)
-    f = with_inline_sentiment(f, "text", InlineLexicon(standins.sentiment_lexicon(spark)))
-    s = linear.score_against_index(f, model, index, "score")
+    # scored rows are written before they meet again: the features' expressions end here
+    s = cut_lineage(linear.score_against_index(featurize(spark, long, "text"), model, index, "score"))
     c = F.col("score") - F.lit(band["mean_score"])
     mu = F.lit(band["ma"]) + F.lit(band["mb"]) * c
     sd = F.sqrt(F.lit(band["va"]) + c * c * F.lit(band["vb"]) + F.lit(2 * band["cab"]) * c)
