@@ -12,8 +12,8 @@ SYMBOLS = "#*$%&|<>"
 #: a line is above the limits if more distinct documents of its host hold it than
 #: both this many and this percentage of the host's distinct documents
 LINE_DOCS, LINE_PERCENT = 6, 5
-#: for lines of at least so many words ``cleaned`` asks for LINE_DOCS only: the
-#: percentage would spare ever more copies of them as a host grows
+#: for lines of at least so many words only LINE_DOCS is asked for: the percentage
+#: would spare ever more copies of them as a host grows
 LONG_LINE_WORDS = 3
 #: a document is depleted if more than this percentage of its words are in removed lines
 DEPLETED_PERCENT = 50
@@ -116,13 +116,16 @@ def depleted_texts(lines: DataFrame, above: DataFrame, depleted_percent: float =
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-            depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
+            depleted_percent: float = DEPLETED_PERCENT, long_words: int | None = LONG_LINE_WORDS) -> DataFrame:
     """One row per input row: ``id_col``, the base measures, base_failed, kept.
 
+    Lines of ``long_words`` words or more go above LINE_DOCS whatever the host's
+    size, shorter ones above both limits.
+
     A null or empty text has no words and fails the base rules; a null host is
     a host of its own; rows that repeat an id are judged each by its own text and
     host; an empty table gives no rows; other columns are not read."""
-    texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col), depleted_percent)
+    texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col, long_words=long_words), depleted_percent)
     depleted = texts.filter("depleted").select("host", "th", "depleted")
     # written: a filter on the result must not be pushed into the measures
     measured = materialize(base_measures(_units(docs, id_col, text_col, host_col), "t"), "measures")
@@ -134,9 +137,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
             depleted_percent: float = DEPLETED_PERCENT, long_words: int | None = LONG_LINE_WORDS) -> DataFrame:
     """The rows that pass the base rules and are not depleted, with all their
-    columns, their texts without the lines above the limits. Lines of
-    ``long_words`` words or more go above LINE_DOCS whatever the host's size, so
-    fewer rows may stay than ``quality`` keeps; with None they are the same."""
+    columns, their texts without the lines above the limits: the rows that
+    ``quality`` keeps. Null or empty texts fail the base rules; rows that repeat an
+    id are judged each by its own text; an empty table gives no rows."""
     texts = depleted_texts(*line_verdicts(docs, id_col, text_col, host_col, long_words=long_words), depleted_percent)
     failed = materialize(base_measures(_units(docs, id_col, text_col, host_col), "t").select("host", "th", "base_failed"),
                          "measures").filter("base_failed").distinct()
@@ -175,7 +178,7 @@ u AS (SELECT host, t, line, sum(len(string_split(line, ' '))) AS n, min(doc_id)
   GROUP BY host, t, line),
 hosts AS (SELECT host, count(DISTINCT t) AS docs FROM u GROUP BY host),
 above AS (SELECT host, line, arg_min(t, d) AS first FROM u JOIN hosts USING (host) GROUP BY host, line, docs
-  HAVING count(*) > {LINE_DOCS} AND count(*) * 100 > docs * {LINE_PERCENT}),
+  HAVING count(*) > {LINE_DOCS} AND (count(*) * 100 > docs * {LINE_PERCENT} OR len(string_split(line, ' ')) >= {LONG_LINE_WORDS})),
 depleted AS (SELECT u.host, u.t FROM u LEFT JOIN above a ON u.host = a.host AND u.line = a.line
   GROUP BY u.host, u.t
   HAVING sum(CASE WHEN a.first IS NOT NULL AND a.first <> u.t THEN n ELSE 0 END) * 100 > sum(n) * {DEPLETED_PERCENT}),
