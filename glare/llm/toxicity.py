@@ -14,9 +14,12 @@ from glare.llm.common import materialize, semi, slices, table, worker_store
 #: score from which a document is called toxic
 THRESHOLD = 0.7
 #: most labelled documents per class whose text trains the dictionaries, and of
-#: both classes that calibrate the scores; chosen by a hash of the id. Only texts
-#: up to LONGEST bytes train, so that the driver holds at most 2 x 3,000 x 24 KB
-TRAIN_DOCS, CALIBRATION_DOCS, LONGEST = 3000, 20000, 24_000
+#: both classes that calibrate the scores; chosen by a hash of the id
+TRAIN_DOCS, CALIBRATION_DOCS = 3000, 20000
+#: of a training text, at most so many pieces of so many characters are read (the
+#: whole text, if it has no more), chosen by a hash: the driver holds at most
+#: 2 x 3,000 texts of 6,000 characters
+PIECES, PIECE_CHARS = 8, 750
 #: bytes of the ordinary dictionary, of one window and of what it shares with the
 #: one before, and of a distinctive run
 ORDINARY_BYTES, WINDOW, SHARED, RUN = 16_000, 64, 8, (5, 7, 8)
@@ -184,14 +187,27 @@ def _measured(docs: DataFrame, contents: tuple[bytes, bytes], keep: list[str], t
     return docs.select(*keep, text_col).mapInArrow(run, ddl + "".join(f", {m} double" for m in MEASURES))
 
 
+def _pieces(text: Column, key: Column) -> Column:
+    """The text, if it has at most PIECES pieces; else that many of them, chosen
+    by a hash of key and place, in order, a line end between any two."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.ceil(F.length(text) / F.lit(PIECE_CHARS)).cast("int")
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i")))
+    chosen = F.sort_array(F.transform(F.slice(F.sort_array(places), 1, PIECES), lambda p: p["i"]))
+    parts = F.transform(chosen, lambda i: F.substr(text, i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)))
+    return F.when(n <= PIECES, text).otherwise(F.array_join(parts, "\n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> tuple[tuple[bytes, bytes], np.ndarray]:
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
     One row in CALIBRATION_SHARE (by hash of the id) calibrates, the others train
     the dictionaries. Both are bounded samples, by another hash of the id (see
-    TRAIN_DOCS, CALIBRATION_DOCS, LONGEST). Rows without a label or id teach nothing; a repeated label row counts once; with labels of
-    one class only, every score is that class's share."""
+    TRAIN_DOCS, CALIBRATION_DOCS, PIECES): documents of every length train, long
+    ones by some of their pieces. Rows without a label or id teach nothing; a
+    repeated label row counts once; an id with several texts teaches by one of
+    them; with labels of one class only, every score is that class's share."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.filter(fold_of(F.col("id")) != HELD_OUT).withColumn("h", F.xxhash64("id"))
@@ -201,16 +217,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return materialize(rows.orderBy("h", "id").limit(most).select("id", "y"), "labelled")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    short = texts.filter(F.length("t") <= LONGEST // 4)
     parts = []
     for y in (1, 0):
         ids = sample(known.filter(~calibrates & (F.col("y") == y)), TRAIN_DOCS)
-        rows = semi(short, ids, "id").orderBy(F.xxhash64("id"), "t").collect()
+        rows = (semi(texts, ids, "id").select("id", _pieces(F.col("t"), F.col("id")).alias("t"))
+                .groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t")).orderBy(F.xxhash64("id"), "id").collect())
         parts.append([plain(r["t"]) for r in rows])
     contents = train_dictionaries(*parts)
     ids = sample(known.filter(calibrates), CALIBRATION_DOCS)
-    rows = (_measured(semi(texts, ids, "id"), contents, ["id"], "t").join(ids, "id")
-            .select("y", *MEASURES).orderBy("y", *MEASURES).collect())
+    rows = (_measured(semi(texts, ids, "id"), contents, ["id"], "t")
+            .groupBy("id").agg(F.min(F.struct(*MEASURES)).alias("m")).join(ids, "id")
+            .select("y", "m.*").orderBy("y", *MEASURES).collect())
     x = np.array([[r[m] for m in MEASURES] for r in rows]).reshape(-1, len(MEASURES))
     y = np.array([r["y"] for r in rows], dtype=int)
     return contents, calibrate(x, y)
@@ -232,7 +249,9 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], np.ndarray], id_col
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, less the rows predicted toxic."""
+    """``docs`` with all columns, less the rows predicted toxic. Null and empty
+    texts stay unless ``score`` calls them toxic; null and repeated ids are judged
+    each by its own text; an empty table gives no rows."""
     contents, beta = train(docs, labels, id_col, text_col)
     at, w = docs.columns.index(text_col), beta.tolist()
 

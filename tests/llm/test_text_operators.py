@@ -88,8 +88,10 @@ def test_repeated_lines_of_a_large_host(spark):
     for i in range(20, 26):
         rows[i] = (i, f"{rows[i][1]}\n{few}", "big")
     rows.append((500, f"{sentence(rng, 9)}\n" + f"{passage}\n" * 3, "big"))
+    judged = quality.quality(frame(spark, rows)).toPandas()
+    against_sql(quality.SQL, {"documents": pd.DataFrame(rows, columns=["doc_id", "text", "source"])}, judged, "doc_id")
     got = {r.doc_id: r.text for r in quality.cleaned(frame(spark, rows)).collect()}
-    assert set(got) == set(range(400))  # 500 has lost most of its words
+    assert set(got) == set(judged.doc_id[judged.kept]) == set(range(400))  # 500 has lost most of its words
     assert got[10] == rows[10][1]  # the smallest id keeps the passage
     assert all(got[i] == rows[i][1].replace(f"\n{passage}", "") for i in range(11, 17))
     assert all(got[i] == rows[i][1] for i in range(20, 26))
@@ -196,6 +198,43 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - out.predicted.sum()
 
 
+def test_toxicity_trains_on_long_texts_and_once_an_id(spark, monkeypatch):
+    """Labelled documents of over 11,000 characters teach; ids with many texts count once."""
+    rng = random.Random(6)
+    bad, rows, labels = ["grumblex", "zwackel", "vyrmq", "snorkid"], [], []
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "i", "or", "u")]
+    for i in range(240):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(2200)]
+        y = int(i % 3 == 0)
+        for _ in range(80 * y):
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, y))
+    assert min(len(t) for _, t, _ in rows) > 8 * toxicity.PIECE_CHARS
+    rows += [(0, f"another text {k}", "s") for k in range(40)]
+    seen = {}
+    trained = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda t, o: trained(*seen.setdefault("texts", (t, o))))
+    docs = frame(spark, rows)
+    out = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).toPandas()
+    toxic, ordinary = seen["texts"]
+    assert 30 < len(toxic) <= 80 and 60 < len(ordinary) <= 160
+    assert all(len(t) <= 8 * (toxicity.PIECE_CHARS + 1) + 2 for t in [*toxic, *ordinary])
+    out = out[out.doc_id > 0]
+    held, y = out.doc_id.map(lambda i: __import__("zlib").crc32(str(i).encode()) % 3 == 1), out.doc_id.map(dict(labels))
+    assert out.predicted[held & (y == 1)].mean() > 0.9 and out.predicted[held & (y == 0)].mean() < 0.05
+
+
+def test_pieces_of_a_text(spark):
+    whole, long = "x y" * 2000, "".join(f"{i:05d}," for i in range(5000))
+    rows = spark.createDataFrame([(1, whole), (2, long), (3, ""), (4, None)], "id long, t string")
+    got = {r.id: r.p for r in rows.select("id", toxicity._pieces(rows.t, rows.id).alias("p")).collect()}
+    assert got[1] == whole and got[3] == got[4] == ""
+    parts = got[2].split("\n")
+    assert len(parts) == toxicity.PIECES and all(len(p) == toxicity.PIECE_CHARS and p in long for p in parts)
+    assert [long.index(p) for p in parts] == sorted(long.index(p) for p in parts)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(0, 1), (3, 1)]])
 def test_toxicity_without_examples(spark, labels):
     docs = frame(spark, [(0, "some text", "s"), (1, None, "s"), (3, "more text", "s")])
