@@ -17,12 +17,10 @@ SLOTS, BANDS = 128, 32
 NUM, DEN = 75, 100
 #: most distinct words cached by a worker
 CACHE_WORDS = 250_000
-#: residual buckets up to this many members give their pairs directly
-SMALL_BUCKET = 32
-#: star rounds over larger residual buckets before their last pairs are compared
-STAR_ROUNDS = 3
-#: 64-bit words of the sketch that bounds what two sets share
-SKETCH_WORDS = 64
+#: a tile of a residual bucket has about this many sets and shingles
+TILE_SETS, TILE_SHINGLES = 256, 400_000
+#: bits of the map that bounds what two sets share, drawn for more pairs than these
+SKETCH_BITS, DIRECT_PAIRS = 4096, 64
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -145,52 +143,6 @@ def _alike(n: str, m: str):
     return F.least(F.col(n), F.col(m)) * DEN >= F.greatest(F.col(n), F.col(m)) * NUM
 
 
-def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, alone, lost, s0...): of each set, how many shingles occur in no set of
-    other components among ``members``, a bitmap of all its shingles, and how
-    many of them share a bit with another one. If an id stands for several sets:
-    the least, all bits and the most of them.
-
-    With c = n - alone, no pair across components can share more than the lesser c of the two, nor
-    more than the common bits plus the lesser ``lost``. Shingles that occur in one
-    component only are counted by 32-bit hashes: too few may be found, so c may be
-    too high, never too low."""
-    ids = materialize(members.select("rep", "comp").distinct(), "residual-ids")
-    own = ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "comp", "s").distinct()
-
-    def explode(batches):
-        for b in batches:
-            for rep, comp, s in (r for part in slices(b) for r in zip(*(c.to_pylist() for c in part.columns))):
-                x = np.unique(np.frombuffer(s, np.uint64).astype(np.uint32)).view(np.int32)
-                n, d = len(x), xxhash.xxh3_128_digest(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array([d] * n, pa.binary()),
-                                                  pa.array(x)], ["rep", "comp", "d", "x"])
-
-    def sketch(batches):
-        names = ["rep", "d", "lost", *(f"s{i}" for i in range(SKETCH_WORDS))]
-        for b in batches:
-            for part in slices(b):
-                bits = np.zeros((part.num_rows, SKETCH_WORDS * 64), np.uint8)
-                lost = np.zeros(part.num_rows, np.int64)
-                texts = part.column(2).to_pylist()
-                for k, s in enumerate(texts):
-                    x = np.frombuffer(s, np.uint64) >> np.uint64(40)
-                    bits[k, (x % np.uint64(bits.shape[1])).astype(np.int64)] = 1
-                    lost[k] = len(x) - bits[k].sum()
-                words = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(xxhash.xxh3_128_digest, texts)), pa.binary()), pa.array(lost), *map(pa.array, words.T)], names)
-
-    rows = materialize(own.mapInArrow(explode, "rep long, comp long, d binary, x int"), "residual-shingles")
-    alone = materialize(rows.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                        .filter("lo = hi").select("x"), "lone-shingles")
-    counted = rows.join(alone, "x").groupBy("rep", "d").agg(F.count("*").alias("alone"))
-    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
-    drawn = own.mapInArrow(sketch, "rep long, d binary, lost long, " + ", ".join(f"{x} long" for x in bits))
-    return (drawn.join(counted, ["rep", "d"], "left").groupBy("rep")
-            .agg(F.min(F.coalesce("alone", F.lit(0))).alias("alone"), F.max("lost").alias("lost"),
-                 *(F.bit_or(x).alias(x) for x in bits)))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` (as long), n_shingles, component_id, kept.
 
@@ -198,11 +150,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a band form a bucket. Within a bucket every class is compared on the full
     sets with one centre (a star, never all pairs); the links found are grouped
     by union-find. Only buckets that then still hold several components are
-    looked at again: small ones give their pairs across components; in large
-    ones the classes that share too few shingles with other components for any
-    link are set aside (an exact bound), the others are compared with the class
-    that shares most, and once that finds no more links, at the latest after
-    ``STAR_ROUNDS``, all pairs across components that the bound allows.
+    looked at again, once: they are dealt to tiles, and each pair of tiles is
+    settled in one task by an exact bound on what two sets share and, where that
+    allows a link, on the full sets.
 
     Null or empty texts, and texts without words, have an empty set and link
     with nothing. Rows with a null id are reported with a null component and
@@ -240,56 +190,126 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members (with their component) of the buckets that hold several
-    components, with the bucket's size and its least set size."""
+    """(key, rep, comp, large, tb, tr): the members of the buckets that hold
+    several components; whether they are in the bucket's largest component; and
+    how many tiles that component and all others take.
+
+    Buckets with the same members (by two 64-bit sums) are taken once."""
     m = materialize(members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                     .select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "grouped")
-    split = materialize(m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                             F.count("*").alias("k"), F.min("n").alias("least"))
-                        .filter("lo <> hi").select("key", "k", "least"), "split")
-    return materialize(m.join(split, "key"), "residual")
-
-
-def _across(m: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that their sizes and, where
-    known, their shared shingles allow."""
-    x, y = m.alias("x"), m.alias("y")
-    both = F.col("x.n") + F.col("y.n")
-    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-          & _alike("x.n", "y.n"))
-    if "c" in m.columns:
-        most = F.least(F.least("x.c", "y.c"),
-                       sum(F.bit_count(F.col(f"x.s{i}").bitwiseAND(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS))
-                       + F.least("x.lost", "y.lost"))
-        on = on & (both * NUM <= most * (NUM + DEN))
-    return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    mark = [F.xxhash64(F.lit(k), "rep", "n").cast("decimal(20,0)") for k in (1, 2)]
+    parts = (m.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"),
+                                          *(F.sum(x).alias(f"x{i}") for i, x in enumerate(mark)))
+             .groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("k").alias("k"), F.sum("w").alias("w"),
+                                 F.max(F.struct("k", "w", "comp")).alias("big"), F.sum("x0").alias("x0"), F.sum("x1").alias("x1"))
+             .filter("lo <> hi"))
+
+    def tiles(k, w):
+        return F.greatest(F.ceil(k / F.lit(TILE_SETS)), F.ceil(w / F.lit(TILE_SHINGLES))).cast("int")
+
+    split = materialize(
+        parts.select("key", "k", "x0", "x1", F.col("big.comp").alias("most"), tiles(F.col("big.k"), F.col("big.w")).alias("tb"),
+                     tiles(F.col("k") - F.col("big.k"), F.col("w") - F.col("big.w")).alias("tr"))
+        .groupBy("k", "x0", "x1").agg(F.min(F.struct("key", "most", "tb", "tr")).alias("b")).select("b.*"), "split")
+    return materialize(m.join(split, "key").select("key", "rep", "comp", (F.col("comp") == F.col("most")).alias("large"), "tb", "tr"),
+                       "residual")
+
+
+def _bits(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set (as 0.0 and 1.0) and how many of its shingles share
+    a bit with another one."""
+    bits = np.zeros((len(sets), SKETCH_BITS), np.float32)
+    for k, s in enumerate(sets):
+        bits[k, (s >> np.uint64(40)) % np.uint64(SKETCH_BITS)] = 1
+    return bits, np.array([len(s) for s in sets]) - bits.sum(axis=1)
+
+
+def tile_links(reps: list[int], comps: list[int], left: list[bool], right: list[bool],
+               sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all components of a tile pair which its sets link.
+
+    Compared are sets of ``left`` with sets of ``right`` in different
+    components. What two sets share is at most the bits that their bitmaps share
+    plus the lesser number of shingles without a bit of their own, so most pairs
+    need no look at the sets; the others are settled on the full sets, unless
+    links found before have joined their components already."""
+    n = np.array([len(s) for s in sets])
+    comp, x, y = np.array(comps), np.flatnonzero(left), np.flatnonzero(right)
+    may = ((comp[x][:, None] != comp[y][None, :])
+           & (np.minimum.outer(n[x], n[y]) * DEN >= np.maximum.outer(n[x], n[y]) * NUM))
+    if may.sum() > DIRECT_PAIRS:
+        bits, lost = _bits(sets)
+        most = bits[x] @ bits[y].T + np.minimum.outer(lost[x], lost[y])
+        may &= np.add.outer(n[x], n[y]) * NUM <= most * (NUM + DEN)
+    up: dict[int, int] = {}
+
+    def find(c):
+        while (d := up.get(c, c)) != c:
+            up[c] = c = up.get(d, d)
+        return c
+
+    found = []
+    for i, j in zip(*np.nonzero(may)):
+        i, j = x[i], y[j]
+        a, b = find(comps[i]), find(comps[j])
+        if a == b:
+            continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if DEN * both >= NUM * (n[i] + n[j] - both):
+            up[a] = b
+            found.append((reps[i], reps[j]))
+    return found
+
+
+def _residual_links(residual: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join what is alike in each bucket of ``residual``.
+
+    A bucket's largest component and its other members are dealt to tiles of
+    about TILE_SETS sets and TILE_SHINGLES shingles by a hash of the id. Each
+    pair of tiles is one group of the shuffle, except two tiles of the largest
+    component, which have nothing to join. A group's sets are in memory, at most
+    a forest of its components leaves it."""
+    def tile(n):
+        return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+    at = F.when(F.col("large"), F.col("tr") + tile("tb")).otherwise(tile("tr"))
+    to = F.sequence(F.lit(0), F.when(F.col("large"), F.col("tr")).otherwise(F.col("tr") + F.col("tb")) - 1)
+    rows = (residual.distinct().join(sets.withColumnRenamed("id", "rep"), "rep")
+            .select("key", "rep", "comp", "s", at.alias("at"), to.alias("to"))
+            .select("key", "rep", "comp", "s", "at", F.explode("to").alias("to"))
+            .select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "rep", "comp", "s")
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+
+    def settled(key, group):
+        _, i, j = key
+        at, reps, comps, sets = zip(*group)
+        links = tile_links(reps, comps, [a == i for a in at], [a == j for a in at], sets)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()),
+                                           pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        last, group = None, []
+        for b in batches:
+            for part in slices(b):
+                for key, i, j, at, rep, comp, s in zip(*(c.to_pylist() for c in part.columns)):
+                    if (key, i, j) != last:
+                        if group:
+                            yield settled(last, group)
+                        last, group = (key, i, j), []
+                    group.append((at, rep, comp, np.frombuffer(s, np.uint64)))
+        if group:
+            yield settled(last, group)
+
+    return materialize(rows.mapInArrow(run, "a long, b long"), "links")
 
 
 def _remaining_links(members: DataFrame, links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components after every pair that shares a bucket has been settled."""
     groups = materialize(connected_components(links), "groups")
-    left = _split_buckets(members, groups)
-    small = left.filter(F.col("k") <= SMALL_BUCKET)
-    links = links.unionByName(verified(_across(small), sets))
-    large = left.filter(F.col("k") > SMALL_BUCKET)
-    for turn in range(STAR_ROUNDS + 1):
-        if large.isEmpty():
-            break
-        able = materialize(large.join(materialize(_shared(large, sets), "shared"), "rep")
-                           .withColumn("c", F.col("n") - F.col("alone")).drop("alone")
-                           .filter((F.col("n") + F.col("least")) * NUM <= F.col("c") * (NUM + DEN)), "able")
-        centre = F.max(F.struct(F.col("c") / F.col("n"), F.col("rep"), F.col("n"), F.col("comp")))
-        centres = materialize(able.groupBy("key").agg(centre.alias("x"))
-                              .select("key", F.col("x.rep").alias("a"), F.col("x.n").alias("m"), F.col("x.comp").alias("h")),
-                              "centres")
-        pairs = able.join(centres, "key").filter((F.col("comp") != F.col("h")) & _alike("n", "m"))
-        star = verified(pairs.select("a", F.col("rep").alias("b")), sets)
-        if turn == STAR_ROUNDS or star.isEmpty():
-            links = links.unionByName(star).unionByName(verified(_across(able), sets))
-            break
-        links = links.unionByName(star)
-        groups = materialize(connected_components(links), "groups")
-        large = _split_buckets(able.select("key", "rep", "n"), groups)
+    residual = _split_buckets(members, groups)
+    if residual.isEmpty():
+        return groups, links
+    links = links.unionByName(_residual_links(residual, sets))
     return materialize(connected_components(links), "groups"), links
 
 

@@ -95,9 +95,47 @@ def test_repeated_id_in_a_large_residual_bucket(spark):
     groups, links = minhash._remaining_links(members, spark.createDataFrame([], "a long, b long"), sets)
     assert {(r.a, r.b) for r in links.collect()} <= {(7, 8), (8, 7)}
     assert {r.node: r.component for r in groups.collect()} == {7: 7, 8: 7}
-    m = members.select("rep", "n", members.rep.alias("comp"))
-    bound = {(r.rep, r.n): r.n - r.alone for r in m.join(minhash._shared(m, sets), "rep").collect()}
-    assert len(bound) == len(shingles) and bound[7, 96] == 96 and bound[8, 97] >= 96
+
+
+@pytest.mark.parametrize("tile", [4, 7, 256])
+def test_residual_buckets_by_tiles(spark, monkeypatch, tile):
+    """Buckets of near copies of several originals: every link between components
+    that share a bucket is found, whatever the tiles, and none else."""
+    monkeypatch.setattr(minhash, "TILE_SETS", tile)
+    rows = texts(7, 6, 12, 14) + [(500, "z " * 300), (501, "z")]
+    sets = {i: minhash.shingles(t.encode()) for i, t in rows}
+    rng = random.Random(8)
+    held = [(1, i) for i in sets] + [(2, i) for i in sets if i % 2] + [(3, i) for i in sets] + [(k, rng.choice(list(sets))) for k in range(4, 9)]
+    members = spark.createDataFrame([(k, i, len(sets[i])) for k, i in set(held)], "key long, rep long, n long")
+    table = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "id long, s binary")
+    known = [(a, b) for a in range(20) for b in range(a) if alike(sets[a], sets[b])]
+    groups, links = minhash._remaining_links(members, spark.createDataFrame(known, "a long, b long"), table)
+    links = {(r.a, r.b) for r in links.collect()}
+    assert links > set(known) and all(alike(sets[a], sets[b]) for a, b in links)
+    up = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and alike(sets[a], sets[b]):
+                x, y = find(up, a), find(up, b)
+                up[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in groups.collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: find(up, i) for i in sets}
+    assert len(links - set(known)) < len(sets) * 8
+
+
+def alike(x, y):
+    both = len(np.intersect1d(x, y))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def test_bound_of_a_tile_pair_is_never_too_low():
+    rng = np.random.default_rng(3)
+    pool = minhash.mix(rng.integers(0, 1 << 62, 9000).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (3, 40, 700, 3000, 6000, 8000)]
+    bits, lost = minhash._bits(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert len(np.intersect1d(x, y)) <= bits[i] @ bits[j] + min(lost[i], lost[j])
 
 
 def test_near_duplicates_odd_tables(spark):
