@@ -2,7 +2,7 @@
 
 Both encoders cut a text where the tokenizer provably treats the two sides
 independently, encode each fragment once, and join the cached little-endian
-ids. Caches are bounded; a cleared cache only costs time.
+ids. Caches are bounded; what one has forgotten only costs time.
 """
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from array import array
 
 from glare.llm.common import SPACE, worker_store
 
-#: most cached fragments of one worker, and the longest fragment kept
-CACHE_ENTRIES = 250_000
+#: fragments of one generation of a cache, of which a worker has two, and the
+#: longest fragment kept
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 64
 
 
@@ -40,8 +41,32 @@ def byte_alphabet() -> dict[str, int]:
 
 
 #: a word whose pre-tokens are plain: Latin letters (of which both tokenizers'
-#: patterns take the longest run), then at most one mark
-SIMPLE = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: patterns take the longest run), then marks (of which they take the longest run
+#: too; an apostrophe may begin another token and "<" a special one)
+SIMPLE = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
+
+
+class Recent(dict):
+    """Values of ``make``, cached in two generations: an entry that is used stays
+    when the young generation is full and becomes the old one. ``turn`` is called
+    between texts."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > CACHE_CHARS:
+                return value
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
 
 
 def byte_level(letters: str, chars: dict[int, str]) -> str:
@@ -52,14 +77,15 @@ def byte_level(letters: str, chars: dict[int, str]) -> str:
 
 
 def little_endian(ids) -> bytes:
-    out = array("I", ids)
-    if out.itemsize != 4:
-        raise RuntimeError("unsigned int is not 4 bytes")
+    out = array(_UINT32, ids)
     if sys.byteorder == "big":
         out.byteswap()
     return out.tobytes()
 
 
+_UINT32 = next(c for c in "IL" if array(c).itemsize == 4)
+
+
 class ForcedBoundaryBPE:
     """Byte-level BPE by forced-boundary splitting.
 
@@ -73,7 +99,7 @@ class ForcedBoundaryBPE:
     words = re.compile(f"[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.tok, self.entries = load_tokenizer(path), entries
+        self.tok = load_tokenizer(path)
         spec = json.loads(self.tok.to_str())
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -82,51 +108,38 @@ class ForcedBoundaryBPE:
         #: adjacent stand-ins of bytes that lie inside some token
         self.inside = {p for t in as_bytes for p in zip(t, t[1:])}
         self.alphabet, self.chars = alphabet, {b: c for c, b in alphabet.items()}
-        self.space, self.tokenize = self.chars[0x20], self.tok.model.tokenize
+        self.space, self.line_end, self.tokenize = self.chars[0x20], self.chars[0x0A], self.tok.model.tokenize
         self.bytes_of = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = as_bytes.get(t, t.encode())
         for t, i in self.added.items():
             self.bytes_of[i] = t.encode()
-        self.word_ids: dict[str, bytes] = {}
-        self.fragment_ids: dict[str, bytes] = {}
+        self.word_ids, self.piece_ids = Recent(self._word, entries), Recent(self._piece, entries)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token in stand-ins: cut at every pair of bytes that no
         token holds, each fragment encoded by itself."""
-        known = self.fragment_ids.get(piece)
-        if known is not None:
-            return known
         if self.inside.issuperset(zip(piece, piece[1:])):
-            ids = [t.id for t in self.tokenize(piece)]
-        else:
-            cuts = [i for i, p in enumerate(zip(piece, piece[1:]), 1) if p not in self.inside]
-            ids = [t.id for a, b in zip([0, *cuts], [*cuts, len(piece)]) for t in self.tokenize(piece[a:b])]
-        out = little_endian(ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self.fragment_ids) >= self.entries:
-                self.fragment_ids.clear()
-            self.fragment_ids[piece] = out
-        return out
+            return little_endian([t.id for t in self.tokenize(piece)])
+        cuts = [i for i, p in enumerate(zip(piece, piece[1:]), 1) if p not in self.inside]
+        return little_endian([t.id for a, b in zip([0, *cuts], [*cuts, len(piece)]) for t in self.tokenize(piece[a:b])])
 
     def _word(self, word: str) -> bytes:
-        simple = SIMPLE.fullmatch(word)
-        if simple:
-            space, letters, mark = simple.groups()
-            out = self._piece((self.space if space else "") + byte_level(letters, self.chars))
-            if mark:
-                out += self._piece(mark)
-        else:
-            out = b"".join(self._piece(piece) for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word))
-        if len(word) <= CACHE_CHARS:
-            if len(self.word_ids) >= self.entries:
-                self.word_ids.clear()
-            self.word_ids[word] = out
-        return out
+        simple, piece_ids = SIMPLE.fullmatch(word), self.piece_ids
+        if simple is None:
+            return b"".join([piece_ids[piece] for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)])
+        space, letters, marks = simple.groups()
+        letters = byte_level(letters, self.chars)
+        out = piece_ids[self.space + letters] if space == " " else piece_ids[letters]
+        if space == "\n":
+            out = piece_ids[self.line_end] + out
+        return out + piece_ids[marks] if marks else out
 
     def _plain(self, text: str) -> bytes:
-        known, word = self.word_ids.get, self._word
-        return b"".join([known(w) or word(w) for w in self.words.findall(text)])
+        out = b"".join(map(self.word_ids.__getitem__, self.words.findall(text)))
+        self.word_ids.turn()
+        self.piece_ids.turn()
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
@@ -152,41 +165,28 @@ class SpacedWordBPE:
     words = re.compile("[^ \t\n\r]+")
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.tok, self.entries = load_tokenizer(path), entries
-        self.chars = {b: c for c, b in byte_alphabet().items()}
-        self.word_ids: dict[str, bytes] = {}
-        self.letter_ids: dict[str, bytes] = {}
-
-    def _letters(self, letters: str) -> bytes:
-        """A run of Latin letters, which is one pre-token however it ends."""
-        ids = self.letter_ids.get(letters)
-        if ids is None:
-            piece = byte_level(letters.lower(), self.chars)
-            ids = little_endian(t.id for t in self.tok.model.tokenize(piece))
-            if len(letters) <= CACHE_CHARS:
-                if len(self.letter_ids) >= self.entries:
-                    self.letter_ids.clear()
-                self.letter_ids[letters] = ids
-        return ids
+        self.tok = load_tokenizer(path)
+        self.chars, self.tokenize = {b: c for c, b in byte_alphabet().items()}, self.tok.model.tokenize
+        self.word_ids, self.piece_ids = Recent(self._word, entries), Recent(self._piece, entries)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a run of Latin letters or of marks, which is one pre-token."""
+        return little_endian([t.id for t in self.tokenize(byte_level(piece.lower(), self.chars))])
 
     def _word(self, word: str) -> bytes:
         simple = SIMPLE.fullmatch(word)
-        if simple:
-            _, letters, mark = simple.groups()
-            out = self._letters(letters)
-            if mark:
-                out += little_endian(t.id for t in self.tok.model.tokenize(mark))
-        else:
-            out = little_endian(self.tok.encode(word, add_special_tokens=False).ids)
-        if len(word) <= CACHE_CHARS:
-            if len(self.word_ids) >= self.entries:
-                self.word_ids.clear()
-            self.word_ids[word] = out
-        return out
+        if simple is None:
+            return little_endian(self.tok.encode(word, add_special_tokens=False).ids)
+        _, letters, marks = simple.groups()
+        out = self.piece_ids[letters]
+        return out + self.piece_ids[marks] if marks else out
 
     def encode(self, text: str) -> bytes:
-        known, word = self.word_ids.get, self._word
-        return b"".join([known(w) or word(w) for w in self.words.findall(text)])
+        """Little-endian unsigned 32-bit ids of the whole text."""
+        out = b"".join(map(self.word_ids.__getitem__, self.words.findall(text)))
+        self.word_ids.turn()
+        self.piece_ids.turn()
+        return out
 
 
 def encoder(kind: type, path: str):
