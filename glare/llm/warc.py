@@ -110,8 +110,9 @@ def write_warc(df: DataFrame, out: str, id_col: str = "page_id", url_col: str =
                roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write every row as a record below ``out``; returns the manifest.
 
-    Rows are range-sorted by page id (null ids first), so files are ordered and
-    follow from the rows alone. Each task fills files up to ``roll_bytes`` under
+    Rows are range-sorted by page id (null ids first), so files are ordered. Where
+    a shard ends is Spark's choice from a sample, so file edges may differ between
+    runs over large tables; records do not. Each task fills files up to ``roll_bytes`` under
     temporary names of its attempt, renames them when complete, and the manifest
     is written last: readers see whole files of a finished run or nothing.
 
