@@ -8,10 +8,11 @@ lexicon is not bundled, so results are not claimed to equal that package's):
 
 1. per text: whitespace tokens (surrounding punctuation stripped unless that
    leaves two characters or fewer), shouting flag, first "but", ``!``/``?``;
-2. ``explode`` the tokens; lexicon join on the lower-cased token
-   (broadcast when the lexicon's bytes are under a checked bound,
-   a shuffle join otherwise);
-3. neighbour rules from flags computed in-row before the explode: boosters
+2. ``explode`` the tokens, each with the three words before it; lexicon join
+   on the lower-cased token (broadcast when the lexicon's bytes are under a
+   checked bound, a shuffle join otherwise). Tokens outside a lexicon of
+   bounded size are dropped before the explode;
+3. neighbour rules on the hits that the join leaves: boosters
    within three words (damped 1, .95, .9), negations (x -0.74) when the
    neighbour is not a lexicon word, two-word boosters ("kind of") among the
    three words before, shouting emphasis, the "but" rule (x .5 before, x 1.5
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rank_index import bisect_left
 from .rewrite import is_upper, split_words
+from .text import PY_SPACE
 
 # Constants of the published rule set (Hutto and Gilbert, 2014).
 BOOST = 0.293
@@ -70,15 +72,19 @@ MOST_INLINE_WORDS = 10_000
 SENTIMENT = ("vader_pos", "vader_neg", "vader_compound", "emotional_intensity")
 
 PUNCT = "".join("\\" + c for c in string.punctuation)
+#: a run of non-whitespace that ``is_upper`` holds for
+UPPER_RUN = r"(?<!{0})[^{1}\p{{Lu}}\p{{Ll}}\p{{Lt}}]*+\p{{Lu}}[^{1}\p{{Ll}}\p{{Lt}}]*+(?!{0})".format(
+    PY_SPACE.replace("[", "[^", 1), PY_SPACE[1:-1])
 
 
-def _tokens(text_col: str):
+def _with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
     """Whitespace tokens, punctuation stripped at both ends unless that leaves
     two characters or fewer (keeps emoticons)."""
-    def clean(w):
-        s = F.regexp_replace(w, rf"^[{PUNCT}]+|[{PUNCT}]+$", "")
-        return F.when(F.length(s) <= 2, w).otherwise(s)
-    return F.transform(split_words(text_col), clean)
+    def clean(w, bare):
+        return F.when(F.length(bare) <= 2, w).otherwise(bare)
+
+    df = df.withColumn(out, split_words(text))
+    return df.withColumn(out, F.zip_with(out, F.transform(out, lambda w: F.btrim(w, F.lit(string.punctuation))), clean))
 
 
 class _Rules:
@@ -91,27 +97,30 @@ class _Rules:
         self.pairs = {b: BOOST for b in bup if " " in b} | {b: -BOOST for b in bdown if " " in b}
         self.negations, self.special = list(negations), list(special)
 
-    def neighbour(self, i: Column, k: int) -> dict[str, Column]:
-        """Flags of the word k places before position i (0-based) of __w / __lw."""
-        j = i - k + 1                                # 1-based index of the neighbour
-        at = F.greatest(j, F.lit(1))
-        lo = F.when(j >= 1, F.element_at("__lw", at))
+    def neighbour(self, word: Column, k: int) -> dict[str, Column]:
+        """Flags of the word k places before a lexicon word (null before the first)."""
+        lo = F.lower(word)
         plain = ~lo.isin(self.special) if self.special else F.lit(True)
         boost = F.when(lo.isin(self.one_up), F.lit(BOOST)).when(lo.isin(self.one_down), F.lit(-BOOST))
-        return {f"b{k}": F.when(plain, boost), f"u{k}": is_upper(F.element_at("__w", at)),
+        return {f"b{k}": F.when(plain, boost), f"u{k}": is_upper(word),
                 f"n{k}": (lo.isin(self.negations) | lo.contains("n't")) & plain}
 
-    def entry(self, x: Column, i: Column, **more: Column) -> Column:
-        """Word x at position i with the flags of the words before it."""
-        fields = {"tok": x, "i": i}
-        for k in (1, 2, 3):
-            fields.update(self.neighbour(i, k))
+    def flags(self, w1: Column, w2: Column, w3: Column) -> dict[str, Column]:
+        """Flags of the three words before a lexicon word, the nearest first."""
+        out = {}
+        for k, w in enumerate((w1, w2, w3), 1):
+            out |= self.neighbour(w, k)
         idiom = F.lit(0.0)
-        for j in (1, 2):  # words i-1-j and i-j
-            two = F.array_join(F.slice("__lw", F.greatest(i - j, F.lit(1)), F.lit(2)), " ")
+        for far, near in ((w2, w1), (w3, w2)):
+            two = F.lower(F.concat(far, F.lit(" "), near))
             for b, v in self.pairs.items():
-                idiom = idiom + F.when((i > j) & (two == b), F.lit(v)).otherwise(F.lit(0.0))
-        return F.struct(*[v.alias(n) for n, v in (fields | {"idiom": idiom} | more).items()])
+                idiom = idiom + F.when(two == b, F.lit(v)).otherwise(F.lit(0.0))
+        return out | {"idiom": idiom}
+
+
+def _before(i: Column, k: int) -> Column:
+    """The word k places before position i (0-based) of __w, null if there is none."""
+    return F.when(i >= k, F.get("__w", i - k))
 
 
 def _sign(v: Column) -> Column:
@@ -136,9 +145,9 @@ def _around_but(val: Column, i: Column, but: Column) -> Column:
 
 def _text_flags(df: DataFrame, text: str) -> DataFrame:
     """``df`` with __w, __lw (words and their lower case), __nt, __capdiff, __but, __ex, __qm."""
-    t = df.withColumn("__w", _tokens(text))
+    t = _with_tokens(df, text, "__w")
     t = t.withColumn("__lw", F.transform("__w", lambda w: F.lower(w)))
-    n_up = F.size(F.filter(F.col("__w"), lambda w: is_upper(w)))
+    n_up = F.regexp_count(text, F.lit(UPPER_RUN))
     return t.withColumns({
         "__nt": F.size("__w"), "__capdiff": (n_up > 0) & (n_up < F.size("__w")),
         "__but": F.array_position(F.col("__lw"), "but"),
@@ -170,6 +179,10 @@ def _merged(lexicon: DataFrame, token: str, valence: str) -> DataFrame:
         .groupBy("__lt").agg(F.avg("__v").alias("__v"))
 
 
+def _listed(word: Column, words: list[str]) -> Column:
+    return word.isin(words) if words else F.lit(False)
+
+
 def sentiment_by_text(df: DataFrame, text: str, lexicon: DataFrame, token: str = "token",
                       valence: str = "valence", boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN,
                       negations=NEGATIONS) -> DataFrame:
@@ -178,7 +191,8 @@ def sentiment_by_text(df: DataFrame, text: str, lexicon: DataFrame, token: str =
 
     Neighbour rules need to know whether a booster or negation word is itself
     a lexicon word; that set is bounded (the lists, and MOST_NT_WORDS), so it is
-    collected and the neighbour flags are computed in-row before the explode.
+    collected. A token takes the three words before it along; their flags are
+    computed after the join, for lexicon words only.
     """
     lex = _merged(lexicon, token, valence)
     listed = [*boosters_up, *boosters_down, *negations]
@@ -190,14 +204,21 @@ def sentiment_by_text(df: DataFrame, text: str, lexicon: DataFrame, token: str =
     size = lex.agg(F.sum(F.length("__lt") * 4 + 48)).first()[0] or 0
     if size <= LEXICON_BROADCAST_BYTES:
         lex = F.broadcast(lex)
+    # a short lexicon is in the plan too, so that only its words leave their text
+    words = [r["__lt"] for r in lex.select("__lt").where(F.col("__lt").isNotNull()).limit(MOST_INLINE_WORDS + 1).collect()]
+    words = words if len(words) <= MOST_INLINE_WORDS else None
 
     t = df.select(F.md5(F.col(text).cast("binary")).alias("__id"), F.col(text).alias("__x")).where(F.col("__x").isNotNull())
     t = _text_flags(t, "__x").drop("__x")
-    rows = t.select("__id", "__nt", "__capdiff", "__but", "__ex", "__qm",
-                    F.explode(F.transform("__w", lambda x, i: rules.entry(x, i))).alias("__e")).select("*", "__e.*").drop("__e")
-    rows = rows.withColumns({"__lt": F.lower("tok"), "__up": is_upper(F.col("tok"))})
+    at = F.transform("__lw", lambda x, i: F.when(_listed(x, words), i) if words is not None else i)
+    at = F.array_compact(at)
+    entry = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("__w", i).alias("tok"), F.get("__lw", i).alias("__lt"),
+                                               *[_before(i, k).alias(f"w{k}") for k in (1, 2, 3)]))
+    # an empty array gives a row without a token, which the join drops: no array is made twice to test its size
+    rows = t.select("__id", "__nt", "__capdiff", "__but", "__ex", "__qm", F.explode_outer(entry).alias("__e")).select("*", "__e.*").drop("__e")
     rows = rows.join(lex, "__lt", "inner")       # only lexicon words carry valence
     rows = rows.where(~F.col("__lt").isin(rules.one_up + rules.one_down))   # boosters score 0
+    rows = rows.withColumns({"__up": is_upper(F.col("tok"))} | rules.flags(F.col("w1"), F.col("w2"), F.col("w3")))
 
     # each rule step is its own projection, so the expression stays linear
     rows = rows.withColumn("__val", _shouted(F.col("__v"), F.col("__up"), F.col("__capdiff")))
@@ -249,7 +270,13 @@ def with_inline_sentiment(df: DataFrame, text: str, lexicon: InlineLexicon, boos
     t = _text_flags(df.withColumn("__x", F.col(text)), "__x")
     capdiff, but = F.col("__capdiff"), F.col("__but")
     t = t.withColumn("__v", F.transform("__lw", lambda w: F.when(~w.isin(boosters), lexicon.of(w))))
-    t = t.withColumn("__e", F.filter(F.transform("__w", lambda x, i: rules.entry(x, i, v=F.get("__v", i))), lambda e: e["v"].isNotNull()))
+    t = t.withColumn("__at", F.array_compact(F.transform("__v", lambda v, i: F.when(v.isNotNull(), i))))
+
+    def entry(i):
+        return F.struct(F.get("__w", i).alias("tok"), i.alias("i"), F.get("__v", i).alias("v"),
+                        *[c.alias(n) for n, c in rules.flags(*(_before(i, k) for k in (1, 2, 3))).items()])
+
+    t = t.withColumn("__e", F.transform("__at", entry))
 
     def stage(e, val):
         return F.struct(*[e[c].alias(c) for c in ("i", "idiom", *(f"{f}{k}" for k in (1, 2, 3) for f in "bun"))], val.alias("v"))

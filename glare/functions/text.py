@@ -14,10 +14,15 @@ from .lexicons import DEFAULT_LEXICONS, OPENER_ALTERNATIVES, Lexicons
 
 # Python's str.isspace() set, written so both Java regex and RE2 read it.
 PY_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
+#: the same set as characters: controls, NEL and the Unicode separators
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD_PATTERN = "[A-Za-z']+"
 ALL_CAPS_TOKEN = "^[A-Z']*[A-Z][A-Z']*$"
 OPENER_PATTERN = rf"(?iU)^{PY_SPACE}*({OPENER_ALTERNATIVES})\b"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
+LINE_BREAK = rf"\r\n|[{LINE_BREAKS}]"
+NON_SPACE = PY_SPACE.replace("[", "[^", 1)
 
 STYLE_FEATURES = (
     "sensational_ratio", "urgency_ratio", "caps_ratio", "all_caps_words",
@@ -37,7 +42,7 @@ def _c(c) -> Column:
 
 def strip(c) -> Column:
     """Python ``str.strip()``: trim Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    return F.btrim(_c(c), F.lit(SPACES))
 
 
 def tokens(c) -> Column:
@@ -61,16 +66,17 @@ def regex_count(c, pattern: str) -> Column:
 
 
 def first_line(c) -> Column:
-    """First non-blank line, stripped; blank or null text -> null."""
-    lines = F.split(_c(c), LINE_BREAK)
-    nonblank = F.filter(lines, lambda x: x.rlike(rf"[^\t\n\x0b\x0c\r\x1c-\x1f\x85\p{{Z}}]"))
-    return strip(F.try_element_at(nonblank, F.lit(1)))
+    """First non-blank line, stripped; blank or null text -> null. Line breaks
+    are white space, so it begins with the text's first visible character; what
+    follows it is not read."""
+    return strip(F.regexp_substr(_c(c), F.lit(f"{NON_SPACE}[^{LINE_BREAKS}]*")))
 
 
 def item_count(c, sep: str = "\t") -> Column:
-    """Number of non-blank items of a separated list; null -> 0."""
-    items = F.split(F.coalesce(_c(c), F.lit("")), sep)
-    return F.size(F.filter(items, lambda x: x.rlike(rf"[^\t\n\x0b\x0c\r\x1c-\x1f\x85\p{{Z}}]")))
+    """Number of non-blank items of a list separated by a white-space
+    character; null -> 0. Each match runs from an item's first visible character
+    to its end."""
+    return regex_count(F.coalesce(_c(c), F.lit("")), f"{NON_SPACE}[^{sep}]*+")
 
 
 def url_host(c) -> Column:

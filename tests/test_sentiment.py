@@ -99,3 +99,15 @@ def test_inline_lexicon_is_bounded(spark):
     none = SN.InlineLexicon(many.where("false"))
     r = SN.with_inline_sentiment(spark.createDataFrame([("w1 w2",)], "t string"), "t", none).first()
     assert r.vader_pos == 0.0 and r.vader_compound == 0.0
+
+
+def test_rules_are_for_lexicon_words_only(spark):
+    """The neighbour rules (regular expressions of the words around) are computed after
+    the lexicon join; a text's other words are dropped where they lie."""
+    from glare.functions import sentiment as SN
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    out = SN.with_sentiment(spark.createDataFrame([("VERY good, not bad!",)], "t string"), "t", lex)
+    generate = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "transform(" in x and "struct(" in x)
+    assert "RLIKE" not in generate.upper()
+    words = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "good" in x]
+    assert any("lambda" in x for x in words)

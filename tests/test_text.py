@@ -76,3 +76,11 @@ def test_features_stay_in_jvm(spark):
     df = spark.createDataFrame([(1, "a b")], "id int, title string")
     plan = with_style_features(df, "title")._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_first_line_and_items_split_no_text(spark):
+    for c in (TX.first_line("t"), TX.item_count("t")):
+        df = spark.createDataFrame([("  \x85 \r\n　 a b \x1c\n c\t\t d",)], "t string").select(c.alias("x"))
+        assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert one(spark, "  \x85 \r\n　 a b \x1c\n c", TX.first_line("t")) == "a b"
+    assert one(spark, " \t a\t 　\tb c\t", TX.item_count("t")) == 2
