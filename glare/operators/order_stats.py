@@ -7,7 +7,7 @@ group into one task. The operators here keep every task bounded:
    value is one row;
 2. each large group is cut into value ranges with ``percentile_approx``
    (the cuts only balance load; the answer stays exact), and each row finds
-   its range with a binary search written as a SQL ``aggregate``;
+   its range with a binary search of a few projections;
 3. range totals are prefix-summed over the small (group, range) table;
 4. within a range a window of bounded size finishes the ordering.
 
@@ -28,20 +28,18 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE = 1_000_000
 
 
-def bisect_right(arr: Column, v: Column, max_len: int) -> Column:
-    """Number of elements of the sorted array ``arr`` that are <= ``v``
-    (0 for a null array), by binary search in ``ceil(log2(max_len+1))`` steps."""
-    steps = max(1, math.ceil(math.log2(max_len + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.greatest(F.size(arr), F.lit(0)).alias("hi"))
+def with_bisect(df: DataFrame, arr: Column, v: Column, max_len: int, out: str, right: bool = False) -> DataFrame:
+    """``df`` with the number of elements of the sorted array ``arr`` (of at most
+    ``max_len``) that are < ``v``, or <= ``v`` (``right``); 0 for a null array or value.
 
-    def step(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = F.element_at(arr, mid + 1) <= v
-        moved = F.when(right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))) \
-            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
-        return F.when(acc["lo"] < acc["hi"], moved).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    A binary search from the highest bit of the number down, one projection of plain
+    column operations a bit, so it is compiled with the join or scan that it follows
+    and the array's row is not copied."""
+    df = df.withColumn(out, F.lit(0))
+    for k in reversed(range(max_len.bit_length())):
+        e = F.get(arr, F.col(out) + F.lit((1 << k) - 1))
+        df = df.withColumn(out, F.col(out) + F.when(e <= v if right else e < v, F.lit(1 << k)).otherwise(F.lit(0)))
+    return df
 
 
 def _with_ranges(df: DataFrame, groups: Sequence[str], value: str,
@@ -76,7 +74,7 @@ def _with_ranges(df: DataFrame, groups: Sequence[str], value: str,
     else:
         cut_values = df.agg(F.percentile_approx(value, fractions, accuracy)).first()[0]
         out = df.withColumn("__cuts", F.lit(cut_values))
-    return out.withColumn("__b", bisect_right(F.col("__cuts"), F.col(value), k)).drop("__cuts")
+    return with_bisect(out, F.col("__cuts"), F.col(value), k, "__b", right=True).drop("__cuts")
 
 
 def _range_offsets(ranged: DataFrame, groups: list[str], weight: str) -> DataFrame:

@@ -86,23 +86,24 @@ class RankIndex:
         if not self.n:
             return df.withColumn(out, F.lit(None).cast("double"))
 
-        def child(firsts, of):
-            at = bisect_left(firsts, v, width)
-            return F.when(v.isNotNull() & (at > 0), F.element_at(of, F.greatest(at, F.lit(1))))
-
         names = df.columns
-        d = df.withColumn("__node", child(F.lit(self.firsts), F.lit(self.nodes)).cast("long"))
+        d = order_stats.with_bisect(df, F.lit(self.firsts), v, len(self.firsts), "__at")
+        d = d.withColumn("__node", self._child(F.lit(self.nodes), v).cast("long")).drop("__at")
         for table in reversed(self.levels[1:]):
             t = table.select(F.col("node").alias("__n"), F.col("firsts").alias("__f"), F.col("children").alias("__c"))
-            d = d.join(t, F.col("__node") == F.col("__n"), "left")
-            d = d.select(*names, child(F.col("__f"), F.col("__c")).alias("__node"))
+            d = order_stats.with_bisect(d.join(t, F.col("__node") == F.col("__n"), "left"), F.col("__f"), v, width, "__at")
+            d = d.select(*names, self._child(F.col("__c"), v).alias("__node"))
         t = self.levels[0].select(F.col("node").alias("__n"), F.col("firsts").alias("__f"), "starts", F.col("end").alias("__e")) \
             .withColumnRenamed("starts", "__s")
-        d = d.join(t, F.col("__node") == F.col("__n"), "left")
-        d = d.withColumn("__at", bisect_left(F.col("__f"), v, width))
+        d = order_stats.with_bisect(d.join(t, F.col("__node") == F.col("__n"), "left"), F.col("__f"), v, width, "__at")
         below = F.coalesce(F.get(F.col("__s"), F.col("__at")), F.col("__e"), F.lit(0)) / F.lit(float(self.n))
         return d.select(*(c for c in names if c != out), F.when(v.isNotNull(), below).alias(out))
 
+    @staticmethod
+    def _child(of: Column, v: Column) -> Column:
+        """The last child that begins below the value (none: null)."""
+        return F.when(v.isNotNull() & (F.col("__at") > 0), F.get(of, F.col("__at") - 1))
+
 
 def load_rank_index(spark: SparkSession, path: str) -> RankIndex:
     """Open a written index: reads its size and the root (at most ``fanout`` entries)."""

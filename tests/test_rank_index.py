@@ -41,3 +41,10 @@ def test_scoring_sorts_no_reference(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Window" not in plan and "rangepartitioning" not in plan
     assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan
+
+
+def test_lookup_is_compiled(spark, tmp_path):
+    """No step of the search is a lambda, which is interpreted and copies a node's arrays for every row."""
+    R.write_rank_index(spark.range(500).select(F.col("id").cast("double").alias("v")), "v", str(tmp_path / "i"), 64, 8)
+    out = R.load_rank_index(spark, str(tmp_path / "i")).share_below(spark.range(100).withColumn("x", F.rand(1)), "x", "s")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
