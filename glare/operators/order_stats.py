@@ -127,19 +127,25 @@ def value_at(runs: DataFrame, probes: DataFrame, groups: Sequence[str], pos: str
     """Attach to each probe row the ``value`` found at 0-based position ``pos``
     of its group (from ``value_runs``), as column ``out``.
 
-    An equi join on (group, position block): a run is repeated once per block
-    it covers, so no task holds more than a block's worth of runs and no
-    range join or broadcast of unknown size is needed.
+    Runs and probes meet in windows on (group, position block), in the order of
+    their positions, and a probe takes the last run before it: work grows with
+    their number times its logarithm. A run is repeated once per block it covers,
+    so no task holds more than a block's worth of runs.
     """
     groups = list(groups)
-    r = runs.where(F.col("cnt") > 0).select(
-        *groups, F.col(value).alias(out), "start", "cnt",
-        F.explode(F.sequence(F.floor(F.col("start") / block),
-                             F.floor((F.col("start") + F.col("cnt") - 1) / block))).alias("__blk"))
-    p = probes.withColumn("__blk", F.floor(F.col(pos) / block))
-    j = p.join(r, [*groups, "__blk"], "inner") \
-        .where((F.col("start") <= F.col(pos)) & (F.col(pos) < F.col("start") + F.col("cnt")))
-    return j.drop("__blk", "start", "cnt")
+    end, known = F.col("start") + F.col("cnt"), F.lit(True)
+    for g in groups:
+        known = known & F.col(g).isNotNull()
+    r = runs.where((F.col("cnt") > 0) & known).select(
+        *groups, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(value).alias("v"), end.alias("end")).alias("__run"),
+        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("__blk"))
+    p = probes.where(known & F.col(pos).isNotNull()).select(
+        *groups, F.col(pos).alias("__at"), F.lit(1).alias("__kind"), F.floor(F.col(pos) / block).alias("__blk"),
+        F.struct(*[c for c in probes.columns if c not in groups]).alias("__probe"))
+    before = Window.partitionBy(*groups, "__blk").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = r.unionByName(p, allowMissingColumns=True).withColumn("__run", F.last("__run", True).over(before)) \
+        .where((F.col("__kind") == 1) & (F.col("__at") < F.col("__run.end")))
+    return j.select(*groups, "__probe.*", F.col("__run.v").alias(out))
 
 
 # --------------------------------------------------------------- consumers
@@ -167,10 +173,11 @@ def share_below(df: DataFrame, value: str, reference: DataFrame, ref_value: str,
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], groups: Sequence[str] = (),
-              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Numpy-style linear-interpolated quantiles, one row per (group, q)."""
+              rows_per_range: int = ROWS_PER_RANGE, runs: DataFrame | None = None) -> DataFrame:
+    """Numpy-style linear-interpolated quantiles, one row per (group, q);
+    ``runs``: the table's ``value_runs``, where the caller has them."""
     groups = list(groups)
-    runs = value_runs(df, groups, value, rows_per_range=rows_per_range)
+    runs = value_runs(df, groups, value, rows_per_range=rows_per_range) if runs is None else runs
     sizes = runs.groupBy(*groups).agg(F.first("n").alias("n")) if groups else \
         runs.agg(F.first("n").alias("n"))
     # one probe per group and q
@@ -185,15 +192,16 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], groups: Sequence[s
 
 
 def hdi(df: DataFrame, value: str, groups: Sequence[str], mass: float = 0.94,
-        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Shortest interval holding ``mass`` of the draws, per group.
+        rows_per_range: int = ROWS_PER_RANGE, runs: DataFrame | None = None) -> DataFrame:
+    """Shortest interval holding ``mass`` of the draws, per group;
+    ``runs``: the table's ``value_runs``, where the caller has them.
 
     Candidate lower ends are the first position of each distinct value; the
     upper end is the value ``floor(mass * n)`` positions later; ties on width
     keep the lowest start (the first minimum).
     """
     groups = list(groups)
-    runs = value_runs(df, groups, value, rows_per_range=rows_per_range)
+    runs = value_runs(df, groups, value, rows_per_range=rows_per_range) if runs is None else runs
     cand = runs.withColumn("__k", F.floor(F.col("n") * mass).cast("long")) \
         .withColumn("__t", F.col("start") + F.col("__k")) \
         .where(F.col("__t") <= F.col("n") - 1) \

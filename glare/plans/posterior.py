@@ -40,8 +40,8 @@ def moments(draws: DataFrame, keys: Sequence[str], value: str = "value") -> Data
 
 
 def hdi_table(draws: DataFrame, keys: Sequence[str], value: str = "value", mass: float = 0.94,
-              rows_per_range: int = order_stats.ROWS_PER_RANGE) -> DataFrame:
-    return order_stats.hdi(draws, value, keys, mass, rows_per_range)
+              rows_per_range: int = order_stats.ROWS_PER_RANGE, runs: DataFrame | None = None) -> DataFrame:
+    return order_stats.hdi(draws, value, keys, mass, rows_per_range, runs)
 
 
 def percentile_table(draws: DataFrame, keys: Sequence[str], qs: Sequence[float],

@@ -321,8 +321,9 @@ def posterior_hdi(spark: SparkSession, base: str) -> DataFrame:
     """W6 + A7 per parameter over a draws table."""
     d = standins.draws(spark, base)
     m = posterior.moments(d, ["param"])
-    h = posterior.hdi_table(d, ["param"])
-    q = order_stats.quantiles(d, "value", [0.03, 0.97], ["param"]) \
+    runs = cut_lineage(order_stats.value_runs(d, ["param"], "value"))       # sorted once, read by both
+    h = posterior.hdi_table(d, ["param"], runs=runs)
+    q = order_stats.quantiles(d, "value", [0.03, 0.97], ["param"], runs=runs) \
         .groupBy("param").pivot("q", [0.03, 0.97]).agg(F.first("value")) \
         .withColumnsRenamed({"0.03": "p3", "0.97": "p97"})
     j = m.join(h, "param").join(q, "param")

@@ -59,3 +59,14 @@ def test_grouped_plan_has_no_single_partition(spark, data):
     _, df = data
     plan = OS.hdi(df, "v", ["g"], 0.94)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_value_at_meets_no_block_of_runs(spark):
+    """Positions are looked up in order, not by pairing a block's runs with its probes."""
+    df = spark.createDataFrame([(g, float(v)) for g in "ab" for v in [1, 1, 1, 1, 1, 2, 3, 5, 8, 13]], "g string, v double")
+    runs = OS.value_runs(df, ["g"], "v")
+    probes = spark.createDataFrame([(g, i) for g in "ab" for i in [0, 4, 5, 9, 9, 10]] + [("c", 0), (None, 0), ("a", None)], "g string, p long")
+    out = OS.value_at(runs, probes, ["g"], "p", "v", "x", block=3)
+    assert sorted((r.g, r.p, r.x) for r in out.collect()) == [(g, i, x) for g in "ab" for i, x in [(0, 1.0), (4, 1.0), (5, 2.0), (9, 13.0), (9, 13.0)]]
+    here = OS.value_at(spark.range(8).selectExpr("'a' g", "id v", "id start", "1L cnt"), probes, ["g"], "p", "v", "x")
+    assert "Join" not in here._jdf.queryExecution().optimizedPlan().toString()
