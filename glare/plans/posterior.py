@@ -266,7 +266,8 @@ def summarize(draws: DataFrame, keys: Sequence[str] = ("model", "param"), mass:
               rows_per_range: int = order_stats.ROWS_PER_RANGE) -> DataFrame:
     """Mean, sd, HDI, split R-hat, bulk ESS and MCSE per parameter."""
     keys = list(keys)
-    return moments(draws, keys).join(hdi_table(draws, keys, mass=mass, rows_per_range=rows_per_range), keys) \
+    runs = cut_lineage(order_stats.value_runs(draws, keys, "value", rows_per_range=rows_per_range))
+    return moments(draws, keys).join(hdi_table(draws, keys, mass=mass, rows_per_range=rows_per_range, runs=runs), keys) \
         .join(split_rhat(draws, keys, rows_per_range=rows_per_range), keys, "left") \
         .join(ess_table(draws, keys, rows_per_range=rows_per_range), keys, "left")
 
