@@ -374,7 +374,7 @@ def pair_table(spark: SparkSession, base: str, n: int | None = None, rewrites: D
     long = pairs.select("doc_id", R.variants("neutral", "neutral", "sensational").alias("v")) \
         .select("doc_id", "v.version", "v.text").where(F.col("version") != "down") \
         .withColumn("__vid", F.concat_ws("/", F.col("doc_id").cast("string"), "version"))
-    f = featurize(spark, long, "text")
+    f = featurize(spark, cut_lineage(long), "text")
     scored = linear.score_against_index(f, model, rank_index(spark, base), "score")
     z, _ = scale.standardize(scored, PAIR_STYLE_UP, ddof=1, zero_policy="epsilon", suffix="_z")
     z = z.withColumn("style", N.row_sum([c + "_z" for c in PAIR_STYLE_UP]))
