@@ -118,10 +118,11 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     names = [id_col, "n_bytes", "n_tokens", "over_limit"]
 
     def run(batches):
-        store = worker_store("token counts")
-        if path not in store:
-            store[path] = WholeTokenCounter(path, whole.value)
-        counter = store[path]
+        # beside the tokenizer that it loads, under a key of its own
+        store, key = worker_store("tokens"), (WholeTokenCounter.__name__, path)
+        if key not in store:
+            store[key] = WholeTokenCounter(path, whole.value)
+        counter = store[key]
         for b in batches:
             for part in slices(b):
                 n = pa.array([counter.count(t) for t in part.column(1).to_pylist()], pa.int64())

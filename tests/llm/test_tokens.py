@@ -156,3 +156,35 @@ def test_archive(spark, docs, tmp_path):
     assert len(out) == 8
     rans.write_archive(docs.limit(0), BYTE, f"file://{tmp_path}/b")
     assert rans.read_archive(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_operators_share_a_worker(monkeypatch):
+    """A worker that counted tokens then packs: each finds its own objects."""
+    import sys
+
+    from glare.llm import tokens, token_counts
+    from glare.llm.bpe_codec import tokenizer_path
+    monkeypatch.setitem(sys.__dict__, "_glare_worker_store", {})
+    path = tokenizer_path("word_bpe_49k.json")
+
+    class Whole:
+        value = frozenset()
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: Whole)})})
+        schema = {"doc_id": type("T", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "long")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    import pyarrow as pa
+    monkeypatch.setattr(token_counts, "prove_whole", lambda p: frozenset())
+    monkeypatch.setattr(token_counts, "F", type("F", (), {"coalesce": staticmethod(lambda *a: type("A", (), {"alias": lambda *_: 0})()),
+                                                          "col": staticmethod(str), "lit": staticmethod(str)}))
+    run = token_counts.count_tokens(Frame(), path)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "__text"])
+    assert list(run([batch]))[0].column("n_tokens").to_pylist()[0] > 0
+    assert tokens.encoder(tokens.SpacedWordBPE, path).encode("some words")
