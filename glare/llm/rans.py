@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glare.llm.bpe_codec import tokenizer_path
-from glare.llm.common import materialize, open_fs, shared_path, slices, table
+from glare.llm.common import materialize, open_fs, shared_path, slices, slices_of_bytes, table
 from glare.llm.tokens import ForcedBoundaryBPE, encoder
 
 PROB_BITS = 20
@@ -206,9 +206,8 @@ def write_archive(df: DataFrame, path: str, out: str, id_col: str = "doc_id", te
         width = "<u2" if max(len(enc.bytes_of), end_id + 1) <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4")
         for b in batches:
-            for part in slices(b):
-                ids = [np.concatenate([np.frombuffer(enc.encode(t), "<u4"), end]).astype(width).tobytes()
-                       for t in part.column(1).to_pylist()]
+            for part in slices_of_bytes(b, 1):
+                ids = [np.concatenate([x, end]).astype(width).tobytes() for x in enc.encode_many(part.column(1))]
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * n, pa.int32()), pa.array(range(pos, pos + n), pa.int64()), part.column(0),

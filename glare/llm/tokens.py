@@ -11,7 +11,12 @@ import re
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from glare.llm.common import SPACE, worker_store
+from glare.llm.merges import Merges, encode_plain
 
 #: fragments of one generation of a cache, of which a worker has two, and the
 #: longest fragment kept
@@ -109,6 +114,7 @@ class ForcedBoundaryBPE:
         self.inside = {p for t in as_bytes for p in zip(t, t[1:])}
         self.alphabet, self.chars = alphabet, {b: c for c, b in alphabet.items()}
         self.space, self.line_end, self.tokenize = self.chars[0x20], self.chars[0x0A], self.tok.model.tokenize
+        self.merges = None
         self.bytes_of = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = as_bytes.get(t, t.encode())
@@ -151,6 +157,22 @@ class ForcedBoundaryBPE:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none), as ``encode`` gives them. The texts are cut
+        together, and their distinct pre-tokens are merged together."""
+        if self.merges is None:
+            self.merges = Merges.of(json.loads(self.tok.to_str())["model"], self.chars) or False
+        texts = pc.fill_null(texts, "")
+        if not self.merges:
+            return [np.frombuffer(self.encode(t), "<u4") for t in texts.to_pylist()]
+        out = encode_plain(texts, self.merges, self.word_ids.__getitem__)
+        self.word_ids.turn()
+        self.piece_ids.turn()
+        for token in self.added:
+            for i in pc.indices_nonzero(pc.match_substring(texts, token)).to_pylist():
+                out[i] = np.frombuffer(self.encode(texts[i].as_py()), "<u4")
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from glare.llm import bpe_codec, packing, rans
+from glare.llm.common import slices_of_bytes
 from glare.llm.tokens import ForcedBoundaryBPE, SpacedWordBPE
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +34,34 @@ def test_ids_equal_the_library(kind, path):
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:80])
 
 
+def test_many_texts_equal_the_library():
+    mine, lib = ForcedBoundaryBPE(BYTE, entries=500), Tokenizer.from_file(BYTE)
+    rng = random.Random(7)
+    parts = [*" \n\t\x85\xa0\u2003<'!.-(0129aZ", *"éÉß×÷ÿĀ½漢\u0301", "the", "'re", "<|endoftext|>"]
+    texts = odd_texts() + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(20000)]
+    texts += ["".join(rng.choice("etaoinsrhé") for _ in range(n)) for n in range(200)]
+    got = mine.encode_many(pa.array(["cut off", *texts, None, ""]).slice(1))
+    assert [x.tolist() for x in got[:-2]] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [len(x) for x in got[-2:]] == [0, 0] and mine.encode_many(pa.array([], pa.string())) == []
+
+
+def test_new_words_are_merged_without_a_call_each(monkeypatch):
+    enc, calls, rng = ForcedBoundaryBPE(BYTE), [], random.Random(8)
+    model = enc.tokenize
+    monkeypatch.setattr(enc, "tokenize", lambda piece: calls.append(piece) or model(piece))
+    text = " ".join("".join(rng.choice("aeinrstlé") for _ in range(rng.randint(3, 12))) for _ in range(5000))
+    got = enc.encode_many(pa.array([text]))
+    assert not calls and got[0].tobytes() == enc.encode(text) and calls
+
+
+def test_slices_hold_at_most_so_many_bytes():
+    sizes = [3, 0, 4, 50, 0, 1, 10, 9, 1, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["x" * n for n in sizes])], ["i", "t"])
+    got = [p.column(0).to_pylist() for p in slices_of_bytes(batch.slice(1), 1, most=10)]
+    assert got == [[1, 2], [3], [4, 5], [6], [7, 8, 9]]
+    assert list(slices_of_bytes(batch.slice(10), 1)) == []
+
+
 def test_decode_equals_the_library():
     mine, lib = ForcedBoundaryBPE(BYTE), Tokenizer.from_file(BYTE)
     rng = random.Random(1)
