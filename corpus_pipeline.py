@@ -1,7 +1,8 @@
 """Training-data pipeline: five operators of ``glare.llm`` over ``documents``.
 
 Each stage takes (spark, docs, sf_dir); ``run`` writes what it returns to the
-shared checkpoint folder and hands the reread table to the next one.
+shared checkpoint folder and hands the reread table to the next one. Stages with
+Python workers bound what these are sent at once, as all of them share the executors.
 """
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from glare.llm import minhash, packing, pii, quality, toxicity
 from glare.llm.bpe_codec import tokenizer_path
 from glare.llm.common import materialize, table
+from glare.session import bound_arrow_batches
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -25,21 +27,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the labels of the held-out fold are not used."""
+    bound_arrow_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bound_arrow_batches(spark)
     return minhash.keep_one_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by the name of its kind."""
+    bound_arrow_batches(spark)
     return _counted(pii.redact(docs, pii.fit(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    bound_arrow_batches(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -284,6 +284,33 @@ def test_run_is_the_stages(spark):
     assert isinstance(out, pd.DataFrame) and out.length.gt(0).all()
 
 
+def test_stages_send_small_batches(spark, monkeypatch):
+    """Rows of 4 MB in one partition reach the workers of every stage by about 2 MB at once."""
+    from glare.llm import common, packing
+
+    def small(batch, most=256):
+        assert batch.nbytes < 3 << 20, batch.nbytes
+        return common.slices(batch, most)
+
+    for module in (minhash, packing, pii, toxicity):
+        monkeypatch.setattr(module, "slices", small)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.hex(F.xxhash64("id", i))), " ")
+    docs = spark.range(0, 1200, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"),
+                                             F.lit("s").alias("source"), F.length(text).cast("int").alias("n_chars"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.unset(key)
+        try:
+            assert stage(spark, docs, "/root/testdata/sf0.001").count() >= 1200
+        finally:
+            spark.conf.unset(key) if held is None else spark.conf.set(key, held)
+    spark.conf.set(key, "5m")  # a bound of the session's own stays
+    corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert spark.conf.get(key) == "5m"
+    spark.conf.unset(key) if held is None else spark.conf.set(key, held)
+
+
 def plain_pipeline(spark, rows, sf_dir):
     """id -> text after each stage but packing, in plain Python with the operators' own verdicts."""
     import re
